@@ -12,6 +12,7 @@ from .history import repeats
 from .leaks import leaked_documents
 from .lookalike import canonical_form, look_alike_pairs
 from .neardup import near_duplicate_pairs
+from .pairs import defective_pairs
 
 LLM = Registry()
 
@@ -70,6 +71,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@LLM.add("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = table(spark, sf_dir, "kb_facts").select(F.lit("fact").alias("rec"), F.col("fact_id").alias("rec_id"), "question", "answer", "type")
+    bank = table(spark, sf_dir, "question_bank").select(F.lit("bank").alias("rec"), F.col("row_id").alias("rec_id"), F.col("prompt").alias("question"), "answer", "type")
+    return defective_pairs(facts.unionByName(bank))
+
+
 _P6_SQL = rf"""
 WITH d AS (SELECT doc_id, {_core("text")} AS core FROM documents),
 e AS (SELECT item_id, {_core("text")} AS core FROM eval_items),
