@@ -13,6 +13,7 @@ from .leaks import leaked_documents
 from .lookalike import canonical_form, look_alike_pairs
 from .neardup import near_duplicate_pairs
 from .pairs import defective_pairs
+from .spam import page_features, stuffed_pages
 
 LLM = Registry()
 
@@ -137,3 +138,14 @@ FROM u JOIN f USING (term), n, a
 def p4_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saturating, length-normalised weights of all terms."""
     return term_weights(table(spark, sf_dir, "kb_entries"), key="entry_no", record="id", terms="keywords", text="summary", k1=1.2, b=0.75)
+
+
+@LLM.add("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffed_pages(table(spark, sf_dir, "documents"), key="doc_id", text="text")
+
+
+@LLM.add("p8_features")
+def p8_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that pages are judged by."""
+    return page_features(table(spark, sf_dir, "documents"), "doc_id", "text")
