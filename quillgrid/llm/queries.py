@@ -11,6 +11,7 @@ from .distinctive import most_characteristic, term_weights
 from .history import repeats
 from .leaks import leaked_documents
 from .lookalike import canonical_form, look_alike_pairs
+from .mix import mixture
 from .neardup import near_duplicate_pairs
 from .pairs import defective_pairs
 from .spam import page_features, stuffed_pages
@@ -140,6 +141,18 @@ def p4_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_weights(table(spark, sf_dir, "kb_entries"), key="entry_no", record="id", terms="keywords", text="summary", k1=1.2, b=0.75)
 
 
+@LLM.add("p7_mixture")
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the mixture, with the source it stands for and its uses."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_plan"))[0]
+
+
+@LLM.add("p7_shares")
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every planned source."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_plan"))[1]
+
+
 @LLM.add("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed_pages(table(spark, sf_dir, "documents"), key="doc_id", text="text")
