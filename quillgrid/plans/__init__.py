@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import spread, table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,3 +28,8 @@ class Registry:
             return query
 
         return keep
+
+
+def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the queries, over all cores."""
+    return spread(table(spark, sf_dir, name))
