@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import CJK, col, has_lost_characters, is_low_information, squeeze
+from .text import CJK, col, has_lost_characters, is_low_information, let, search_tokens, squeeze
 
 # Patterns of prompts, texts and answers.
 GENERIC_PROMPTS = ("^关于[“\"]?.+[”\"]?，下列哪项", "^下列哪项关于[“\"]?.+[”\"]?", "^根据知识库内容，下列哪个")
@@ -32,7 +32,11 @@ COMPATIBLE = {"short_cjk": ("short_phrase", "acronym"), "short_phrase": ("short_
 
 
 def answer_signature(x: Column | str) -> Column:
-    value = squeeze(x)
+    return let(squeeze(x), kind_of)
+
+
+def kind_of(value: Column) -> Column:
+    """answer_signature of a squeezed text."""
     return (
         F.when(value.rlike(YEAR_LIKE) | F.lower(value).rlike(QUANTITY), "numeric")
         .when(value.rlike(COMMAND), "command")
@@ -48,12 +52,17 @@ def signatures_fit(right: Column, other: Column) -> Column:
 
 
 def surface_bucket(x: Column | str) -> Column:
-    value, kind = squeeze(x), answer_signature(x)
-    return (
-        F.when(kind.isin("numeric", "command", "sentence"), kind)
+    return let(squeeze(x), bucket_of)
+
+
+def bucket_of(value: Column) -> Column:
+    """surface_bucket of a squeezed text."""
+    return let(
+        kind_of(value),
+        lambda kind: F.when(kind.isin("numeric", "command", "sentence"), kind)
         .when(value.rlike(r"^[@A-Za-z][A-Za-z0-9_./+\-]{1,31}$"), "identifier")
         .when(value.rlike(f"^[{CJK}]{{2,10}}$"), "cjk-token")
-        .otherwise("phrase")
+        .otherwise("phrase"),
     )
 
 
@@ -70,7 +79,11 @@ def is_noisy_focus(x: Column | str) -> Column:
 
 
 def is_bad_option(x: Column | str) -> Column:
-    text = squeeze(x)
+    return let(squeeze(x), bad_text)
+
+
+def bad_text(text: Column) -> Column:
+    """is_bad_option of a squeezed text."""
     return text.isin(*BAD_OPTIONS) | (F.length(text) <= 1) | has_lost_characters(text)
 
 
@@ -85,16 +98,23 @@ def is_generic_prompt(x: Column | str) -> Column:
 
 def quality_issues(prompt: Column | str, analysis: Column | str, options: Column | str, answer: Column | str) -> Column:
     """Codes of what is wrong with a question; an empty array if nothing is."""
-    text, note = squeeze(prompt), squeeze(analysis)
     given = F.coalesce(col(options), F.array().cast("array<struct<key:string,text:string>>"))
-    texts = F.transform(given, lambda o: squeeze(o["text"]))
     picked = F.filter(given, lambda o: o["key"] == col(answer))
     right = squeeze(F.when(F.size(picked) > 0, F.element_at(picked, 1)["text"]))
-    kind = F.when(right == "", "short_phrase").otherwise(answer_signature(right))
-    focus = prompt_focus(text)
+    parts = F.struct(squeeze(prompt).alias("text"), squeeze(analysis).alias("note"), F.transform(given, lambda o: squeeze(o["text"])).alias("texts"), right.alias("right"))
+    return let(parts, lambda p: let(_traits(p), lambda t: _issues(p, t)))
+
+
+def _traits(p: Column) -> Column:
+    kind = F.when(p["right"] == "", "short_phrase").otherwise(kind_of(p["right"]))
+    kinds, buckets = F.transform(p["texts"], kind_of), F.transform(p["texts"], bucket_of)
+    return F.struct(kind.alias("kind"), prompt_focus(p["text"]).alias("focus"), kinds.alias("kinds"), buckets.alias("buckets"))
+
+
+def _issues(p: Column, t: Column) -> Column:
+    text, note, texts, kind, focus, buckets = p["text"], p["note"], p["texts"], t["kind"], t["focus"], t["buckets"]
     noisy = (focus != "") & is_noisy_focus(focus)
-    fitting = F.size(F.filter(texts, lambda t: signatures_fit(kind, answer_signature(t))))
-    buckets = F.transform(texts, surface_bucket)
+    fitting = F.size(F.filter(t["kinds"], lambda k: signatures_fit(kind, k)))
     sizes = F.transform(F.array_distinct(buckets), lambda b: F.size(F.filter(buckets, lambda x: x == b)))
     odd = (F.size(sizes) >= 2) & (F.array_max(sizes) == F.size(texts) - 1) & (F.array_min(sizes) == 1)
     checks = (
@@ -105,7 +125,7 @@ def quality_issues(prompt: Column | str, analysis: Column | str, options: Column
         ("prompt-answer-mismatch-numeric", (text.contains("时间或数值") | text.contains("哪一年")) & (kind != "numeric")),
         ("prompt-answer-mismatch-acronym", text.contains("术语或缩写") & ~kind.isin("acronym", "short_phrase", "short_cjk")),
         ("mapping-fragment", text.contains("对应的内容是") & noisy),
-        ("bad-option", F.exists(texts, is_bad_option)),
+        ("bad-option", F.exists(texts, bad_text)),
         ("option-signature-mismatch", (F.size(texts) > 0) & (fitting < F.greatest(F.lit(2), F.size(texts) - 1))),
         ("attribute-option-mismatch", (focus != "") & asks_for_attribute(focus) & (F.size(texts) >= 4) & odd),
         ("low-information-analysis", (note != "") & is_low_information(note)),
@@ -115,10 +135,11 @@ def quality_issues(prompt: Column | str, analysis: Column | str, options: Column
 
 def is_usable_fact(title: Column | str, answer: Column | str) -> Column:
     """A short informative answer that does not just echo the title."""
-    from .text import search_tokens
-
     text = squeeze(answer)
-    terms, own = search_tokens(title), search_tokens(answer)
-    shared = F.size(F.array_intersect(terms, own))
-    echo = (F.size(terms) > 0) & (F.size(own) > 0) & (shared >= 0.8 * F.size(terms)) & (F.size(own) <= F.size(terms) + 2)
-    return (text != "") & (F.length(text) <= 96) & ~is_low_information(text) & ~echo
+    terms = F.struct(search_tokens(title).alias("title"), search_tokens(answer).alias("own"))
+
+    def echoes(t: Column) -> Column:
+        shared = F.size(F.array_intersect(t["title"], t["own"]))
+        return (F.size(t["title"]) > 0) & (F.size(t["own"]) > 0) & (shared >= 0.8 * F.size(t["title"])) & (F.size(t["own"]) <= F.size(t["title"]) + 2)
+
+    return (text != "") & (F.length(text) <= 96) & ~is_low_information(text) & ~let(terms, echoes)

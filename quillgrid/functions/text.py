@@ -33,6 +33,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeeze(x: Column | str) -> Column:
     """Runs of white space as one space, none at the ends; null as ''."""
     return F.btrim(F.regexp_replace(F.coalesce(col(x), F.lit("")), SPACE + "+", " "))
@@ -109,9 +114,7 @@ def keyword_tokens(x: Column | str) -> Column:
 
 def search_tokens(x: Column | str) -> Column:
     """Distinct terms for retrieval, in order: lower-cased ASCII terms, then ideograph runs of 2 to 12."""
-    text = squeeze(x)
-    short = F.filter(cjk_runs(text), lambda t: F.length(t) <= 12)
-    return F.array_distinct(F.concat(F.transform(ascii_terms(text), F.lower), short))
+    return let(squeeze(x), lambda t: F.array_distinct(F.concat(F.transform(ascii_terms(t), F.lower), F.filter(cjk_runs(t), lambda r: F.length(r) <= 12))))
 
 
 def plain_tokens(x: Column | str) -> Column:
@@ -122,11 +125,13 @@ def plain_tokens(x: Column | str) -> Column:
 
 def is_low_information(x: Column | str, bare_at: bool = False) -> Column:
     """Contacts, addresses, or nothing but names of organisations.  ``bare_at``: any @ is a contact, runs of any length count."""
-    low = F.lower(squeeze(x))
-    tokens = plain_tokens(x) if bare_at else search_tokens(x)
     names = F.array(*[F.lit(w) for w in ORGANISATIONS])
-    marks = low.rlike(CONTACT_MARKERS + "|@") if bare_at else low.rlike(CONTACT_MARKERS) | low.rlike(EMAIL)
-    return marks | ((F.size(tokens) > 0) & (F.size(F.array_except(tokens, names)) == 0))
+
+    def poor(low: Column) -> Column:
+        marks = low.rlike(CONTACT_MARKERS + "|@") if bare_at else low.rlike(CONTACT_MARKERS) | low.rlike(EMAIL)
+        return marks | let(plain_tokens(low) if bare_at else search_tokens(low), lambda t: (F.size(t) > 0) & (F.size(F.array_except(t, names)) == 0))
+
+    return let(F.lower(squeeze(x)), poor)
 
 
 def has_lost_characters(x: Column | str) -> Column:
