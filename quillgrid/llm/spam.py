@@ -59,6 +59,8 @@ SENTENCE = 1 / 12
 REPEATED, MOSTLY = 3, 0.6
 #: Length of n-grams, and of the lines that are judged by them alone.
 GRAM, LONG_LINE = 5, 80
+#: Repeats are counted within so many characters, so that a long line of prose is judged like a short one.
+STRETCH = 600
 FEATURES = "language string, function_share double, top_word double, gram_repeats double, line_repeats double, link_share double, separators double, stuffing double"
 
 
@@ -81,9 +83,14 @@ def _words(line: str) -> list[str]:
 
 
 def _gram_repeats(line: str) -> float:
-    """The share of a line's n-grams that are not the first of their kind."""
-    n = len(line) - GRAM + 1
-    return 1 - len({line[k : k + GRAM] for k in range(n)}) / n if n > 0 else 0.0
+    """The share of n-grams that are not the first of their kind within their stretch of the line."""
+    again = total = 0
+    for at in range(0, len(line), STRETCH):
+        n = min(STRETCH, len(line) - at) - GRAM + 1
+        if n > 0:
+            again += n - len({line[k : k + GRAM] for k in range(at, at + n)})
+            total += n
+    return again / total if total else 0.0
 
 
 def features(text: str) -> tuple[str, float, float, float, float, float, float, float]:
@@ -144,7 +151,8 @@ def stuffed_pages(docs: DataFrame, *, key: str, text: str) -> DataFrame:
     """The ``key`` of each spam page."""
     pages = page_features(docs, key, text)
     # One row for each of the languages told apart, so two at most.
-    usual = pages.groupBy("language").agg((F.percentile_approx("function_share", 0.5, 1000) * FUNCTION_PART).alias("least"))
+    prose = (F.col("stuffing") <= GREATER_PART) & (F.col("function_share") > 0)
+    usual = pages.filter(prose).groupBy("language").agg((F.percentile_approx("function_share", 0.5, 1000) * FUNCTION_PART).alias("least"))
     shares = (F.col("top_word") >= TOP_WORD) | (F.col("gram_repeats") >= GRAM_REPEATS) | (F.col("line_repeats") >= LINE_REPEATS) | (F.col("link_share") >= LINKS) | (F.col("separators") >= SEPARATORS)
     spam = (F.col("stuffing") > GREATER_PART) & shares
     # Judged after the calibration: the join must not drop a page for want of a language's row.
