@@ -167,9 +167,9 @@ def document_info(x: Column) -> Column:
 
 def image_census(texts: DataFrame, file: str, listing: str) -> DataFrame:
     """(file, page, images) of a listing of images: rows of at least three fields that begin with a number, masks aside."""
-    rows = texts.select(file, F.explode(lines(listing)).alias("row")).select(file, F.split(F.btrim("row"), r"\s+").alias("f"))
-    kept = rows.filter((F.size("f") >= 3) & F.get("f", F.lit(0)).rlike(r"^\d+$") & (F.get("f", F.lit(2)) != "smask"))
-    return kept.groupBy(file, F.get("f", F.lit(0)).cast("int").alias("page")).agg(F.count(F.lit(1)).cast("int").alias("images"))
+    rows = texts.select(file, F.explode(lines(listing)).alias("row")).select(file, F.split(F.btrim("row"), r"\s+").alias("_fields"))
+    kept = rows.filter((F.size("_fields") >= 3) & F.get("_fields", F.lit(0)).rlike(r"^\d+$") & (F.get("_fields", F.lit(2)) != "smask"))
+    return kept.groupBy(file, F.get("_fields", F.lit(0)).cast("int").alias("page")).agg(F.count(F.lit(1)).cast("int").alias("images"))
 
 
 def read_pdf(spark: SparkSession, path: str | list[str]) -> DataFrame:
