@@ -111,7 +111,7 @@ def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     bank = table(spark, sf, "question_bank").select("row_id", T.squeeze("prompt").alias("prompt"), "type")
     facts = table(spark, sf, "kb_facts").select("fact_id", T.squeeze("question").alias("question"), F.col("type").alias("wanted"))
     scored = R.bm25(*_order(terms)).join(bank, "row_id").join(facts, "fact_id")
-    return scored.withColumn("fuzzy", R.fuzzy("question", "prompt") / 100), bank.count()
+    return R.fuzzy(scored, "question", "prompt"), bank.count()
 
 
 @BANKS.add("fuzzy_topk")

@@ -133,6 +133,12 @@ def test_letters_to_change(a, b):
     assert R._rest(a, b) == slow_rest(a, b)
 
 
+@given(st.text("abc 中", max_size=150), st.lists(st.text("abc 中", max_size=150), min_size=12, max_size=20))
+@settings(max_examples=60)
+def test_letters_to_change_of_many(a, others):
+    assert R._rests(a, others).tolist() == [slow_rest(a, b) for b in others]
+
+
 def test_token_set_ratio():
     assert R.token_set_ratio("a b", "b a c") == 100 and R.token_set_ratio("", "a") == 0 and R.token_set_ratio(None, "a") == 0
     assert R.token_set_ratio("abc", "abd") == pytest.approx(100 * (1 - 2 / 6))
