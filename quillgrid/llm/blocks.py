@@ -54,12 +54,12 @@ class Fingerprints:
         return docs, keys, sketch
 
 
-def steps(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of a batch of about STEP_CHARS characters each, whole texts."""
+def steps(texts: list[str], size: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of a batch of about ``size`` characters each, whole texts."""
     a, chars = 0, 0
     for i, t in enumerate(texts):
         chars += len(t)
-        if chars >= STEP_CHARS:
+        if chars >= size:
             yield a, i + 1
             a, chars = i + 1, 0
     if a < len(texts):

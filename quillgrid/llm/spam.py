@@ -27,11 +27,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import texts_of
+from .blocks import steps, texts_of
+from .cores import code_points, windows
 
 # Words and characters that sentences of a language cannot do without.
 _FUNCTION_WORDS = frozenset(
@@ -45,7 +47,8 @@ _LINK = re.compile(
 _TAG = re.compile(r"<[^<>\n]{1,80}>")
 _COMMAND = re.compile(r"\s--?[a-z][\w-]*(?:[\s=]|$)|^\s*[$>]\s")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ'’-]*")
-_HAN = re.compile(r"[㐀-鿿]")
+_HAN = re.compile(r"[㐀-鿿]+")
+_FUNCTION_HAN = re.compile(f"[{''.join(sorted(_FUNCTION_CHARS))}]")
 _MARKUP = re.compile(r"^[\s>*•●■◆·-]+|\*\*|__|\\$|\\")
 _WORD = re.compile(r"[A-Za-zÀ-ɏΑ-ω][A-Za-zÀ-ɏΑ-ω0-9'’-]*|[㐀-鿿]+")
 _SEPARATOR = re.compile(r"[;；,，、|/·•#＃]")
@@ -61,14 +64,19 @@ REPEATED, MOSTLY = 3, 0.6
 GRAM, LONG_LINE = 5, 80
 #: Repeats are counted within so many characters, so that a long line of prose is judged like a short one.
 STRETCH = 600
+#: Characters whose n-grams are counted together.
+STEP = 500_000
 FEATURES = "language string, function_share double, top_word double, gram_repeats double, line_repeats double, link_share double, separators double, stuffing double"
 
 
-def _function_count(line: str) -> tuple[int, int]:
-    """Function words, and words, of a line."""
+def _function_count(line: str) -> tuple[int, int, int]:
+    """Function words, words and ideographs of a lower-cased line; each ideograph is a word."""
     words = _LATIN.findall(line)
-    han = _HAN.findall(line)
-    return sum(w.lower() in _FUNCTION_WORDS for w in words) + sum(c in _FUNCTION_CHARS for c in han), len(words) + len(han)
+    function = sum(map(_FUNCTION_WORDS.__contains__, words))
+    if line.isascii():
+        return function, len(words), 0
+    han = sum(map(len, _HAN.findall(line)))
+    return function + (len(_FUNCTION_HAN.findall(line)) if han else 0), len(words) + han, han
 
 
 def _words(line: str) -> list[str]:
@@ -82,39 +90,63 @@ def _words(line: str) -> list[str]:
     return out
 
 
-def _gram_repeats(line: str) -> float:
-    """The share of n-grams that are not the first of their kind within their stretch of the line."""
-    again = total = 0
-    for at in range(0, len(line), STRETCH):
-        n = min(STRETCH, len(line) - at) - GRAM + 1
-        if n > 0:
-            again += n - len({line[k : k + GRAM] for k in range(at, at + n)})
-            total += n
-    return again / total if total else 0.0
+def gram_repeats(lines: list[str]) -> np.ndarray:
+    """For each line, the share of n-grams that are not the first of their kind within their stretch of it."""
+    points = code_points("\n".join(lines))
+    line = np.cumsum(points == 10)
+    kept = points != 10
+    points, line = points[kept], line[kept]
+    sizes = np.bincount(line, minlength=len(lines))
+    place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    parts = -(-sizes // STRETCH)
+    stretch = np.repeat(np.cumsum(parts) - parts, sizes) + place // STRETCH
+    grams, owner = windows(points, stretch, GRAM)
+    key = (owner.astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20))
+    key.sort()
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+    count = int(parts.sum())
+    every = np.bincount(owner, minlength=count)
+    first = np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=count)
+    of = np.repeat(np.arange(len(lines)), parts)
+    total, distinct = np.bincount(of, every, len(lines)), np.bincount(of, first, len(lines))
+    return 1 - distinct / np.maximum(total, 1) - (total == 0)
+
+
+def _read(text: str) -> tuple[str, list[tuple[str, str]]]:
+    """A text without markup, and its lines, each as it is and without links, in lower case."""
+    text = html.unescape(text.replace("<br>", "\n").replace("<br/>", "\n"))
+    lines = (_MARKUP.sub("", y).strip() for y in text.split("\n"))
+    return text, [(x, (_TAG.sub(" ", _LINK.sub(" ", x)) if "/" in x or "<" in x else x).lower()) for x in lines if x]
+
+
+def all_features(texts: list[str]) -> list[tuple[str, float, float, float, float, float, float, float]]:
+    read = [_read(t) for t in texts]
+    long = [rest for _, lines in read for _, rest in lines if len(rest) >= LONG_LINE]
+    repeats = iter(gram_repeats(long).tolist() if long else [])
+    return [_features(text, [(x, rest, next(repeats) if len(rest) >= LONG_LINE else 0.0) for x, rest in lines]) for text, lines in read]
 
 
 def features(text: str) -> tuple[str, float, float, float, float, float, float, float]:
-    text = html.unescape(text.replace("<br>", "\n").replace("<br/>", "\n"))
-    total = len(text) - len(re.findall(r"\s", text))
-    han = len(_HAN.findall(text))
-    language = "zh" if han * 6 > total else "latin"
+    return all_features([text])[0]
+
+
+def _features(text: str, lines: list[tuple[str, str, float]]) -> tuple[str, float, float, float, float, float, float, float]:
+    total = len("".join(text.split()))
     if not total:
-        return language, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
-    lines = [x for x in (_MARKUP.sub("", y).strip() for y in text.split("\n")) if x]
-    links = function = words = 0
+        return "latin", 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
+    links = function = words = han = 0
     stuffing, listed, grams = 0.0, [], 0.0
-    for line in lines:
-        rest = _TAG.sub(" ", _LINK.sub(" ", line)) if "/" in line or "<" in line else line
+    for line, rest, again in lines:
         size = len("".join(line.split()))
-        own = len("".join(rest.split()))
+        own = len("".join(rest.split())) if len(rest) != len(line) else size
         links += size - own
-        f, n = _function_count(rest)
+        f, n, ideographs = _function_count(rest)
         function += f
+        han += ideographs
         words += n + (len(_LATIN.findall(line)) if size > own else 0)
-        repeats = _gram_repeats(rest.lower()) if len(rest) >= LONG_LINE else 0.0
-        grams += own * repeats
+        grams += own * again
         if f and f >= n * SENTENCE:
-            if repeats > 0.5:
+            if again > 0.5:
                 stuffing += size
         elif size > own and own * 4 <= size:
             stuffing += size
@@ -129,8 +161,9 @@ def features(text: str) -> tuple[str, float, float, float, float, float, float,
         if size and sum(len(w) for w in ws if counts[w] >= REPEATED) >= size * MOSTLY:
             stuffing += own
     top = max((len(w) * c for w, c in counts.items() if c >= REPEATED), default=0) / total
-    line_repeats = sum(len(k) * c for k, c in Counter(lines).items() if c > 1) / max(1, sum(map(len, lines)))
+    line_repeats = sum(len(k) * c for k, c in Counter(x for x, _, _ in lines).items() if c > 1) / max(1, sum(len(x) for x, _, _ in lines))
     separators = sum(len(_SEPARATOR.findall(rest)) for _, rest in listed) / total
+    language = "zh" if han * 6 > total else "latin"
     return language, function / max(1, words), top, grams / total, line_repeats, min(1.0, links / total), separators, min(1.0, stuffing / total)
 
 
@@ -140,7 +173,8 @@ def page_features(docs: DataFrame, key: str, text: str) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in FEATURES.split(", ")]
         for batch in batches:
-            rows = [features(t) for t in texts_of(batch["t"])]
+            texts = texts_of(batch["t"])
+            rows = [r for a, b in steps(texts, STEP) for r in all_features(texts[a:b])]
             yield pd.DataFrame(rows, columns=names).assign(k=batch["k"].to_numpy())[["k", *names]]
 
     own = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length(F.trim("t")) > 0)
