@@ -62,7 +62,8 @@ def _bank_terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @BANKS.add("bm25_topk", _TERMS + "SELECT fact_id, CAST(place AS INTEGER) AS place, row_id, round(bm25, 6) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY round(bm25, 6) DESC, row_id) AS place FROM b) WHERE place <= 5")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    scored = R.bm25(*_order(_bank_terms(spark, sf))).withColumn("bm25", F.round("bm25", 6))
+    asked, held = _bank_terms(spark, sf)
+    scored = R.Relevance(held, "row_id").best(asked, "fact_id", 5).withColumn("bm25", F.round("bm25", 6))
     return R.top(scored, "fact_id", [F.desc("bm25"), F.col("row_id")], 5).select("fact_id", "place", "row_id", "bm25")
 
 

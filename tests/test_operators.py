@@ -110,6 +110,18 @@ def test_bm25_by_hand(spark):
     assert got == {d: round(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * n / 2)), 9) for d, n in ((1, 2), (3, 3))}
 
 
+@pytest.mark.parametrize("rare", [0.0, 0.1, 0.4, 1.0])
+def test_the_best_are_those_of_all_scores(spark, rare):
+    rng = np.random.default_rng(8)
+    rows = {(d, f"t{int(t)}") for d in range(60) for t in np.minimum(rng.zipf(1.4, rng.integers(2, 12)), 40)}
+    asked = {(q, f"t{int(t)}") for q in range(12) for t in np.minimum(rng.zipf(1.3, 4), 40)} | {(50, "none")}
+    docs, queries = spark.createDataFrame(sorted(rows), "d int, term string"), spark.createDataFrame(sorted(asked), "q int, term string")
+    order = [F.desc("bm25"), F.col("d")]
+    want = R.top(R.bm25(queries, "q", docs, "d").withColumn("bm25", F.round("bm25", 6)), "q", order, 3).collect()
+    got = R.top(R.Relevance(docs, "d").best(queries, "q", 3, rare).withColumn("bm25", F.round("bm25", 6)), "q", order, 3).collect()
+    assert sorted((r.q, r.place, r.d, r.bm25) for r in got) == sorted((r.q, r.place, r.d, r.bm25) for r in want)
+
+
 def test_normalisation_counts_what_no_term_found(spark):
     df = spark.createDataFrame([(1, 1, 2.0), (1, 2, 4.0), (2, 1, 3.0)], "q int, d int, s double")
     some = {(r.q, r.d): r.n for r in df.select("q", "d", R.normalised("s", "q", 5).alias("n")).collect()}
