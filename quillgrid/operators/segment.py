@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, clean_line, clean_lines, col, compact, is_bullets, is_contact, is_footer, lines, slug, squeeze
+from ..functions.text import clean_line, clean_lines, col, compact, is_bullets, is_contact, is_footer, let, lines, slug, squeeze
 
 
 def exploded_lines(docs: DataFrame, doc: str, text: str, *keep: str) -> DataFrame:
@@ -17,9 +17,19 @@ def exploded_lines(docs: DataFrame, doc: str, text: str, *keep: str) -> DataFram
     return docs.select(doc, *keep, F.posexplode(lines(text)).alias("line_no", "raw"))
 
 
+def made_lines(docs: DataFrame, doc: str, text: str, make, *keep: str) -> DataFrame:
+    """(doc, *keep, line_no, line): ``make`` of every line, without empty ones.
+
+    Lines are made before they are exploded: a filter on an exploded column is
+    not pushed into the expression that made it, so each line is made once.
+    """
+    made = docs.select(doc, *keep, F.posexplode(F.transform(lines(text), make)).alias("line_no", "line"))
+    return made.filter("line <> ''")
+
+
 def cleaned_lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, line_no, line, contact, footer, bullets): cleaned lines that are not empty, and what they look like."""
-    made = exploded_lines(docs, doc, text).withColumn("line", clean_line("raw")).filter("line <> ''")
+    made = made_lines(docs, doc, text, clean_line)
     return made.select(doc, "line_no", "line", is_contact("line").alias("contact"), is_footer("line").alias("footer"), is_bullets("line").alias("bullets"))
 
 
@@ -28,12 +38,12 @@ def sections(docs: DataFrame, doc: str, text: str, name: str) -> DataFrame:
 
     A document of headings alone becomes one section whose body is its headings.
     """
-    rows = exploded_lines(docs, doc, text, name).withColumn("line", clean_line("raw")).filter("line <> ''")
+    twice = lambda t: let(clean_line(t), lambda c: F.struct(c.alias("line"), clean_line(c).alias("again")))
+    rows = docs.select(doc, name, F.posexplode(F.transform(lines(text), twice)).alias("line_no", "both")).select(doc, name, "line_no", "both.*").filter("line <> ''")
     heading = F.col("line").startswith("#")
     order = Window.partitionBy(doc).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("section", F.sum(heading.cast("int")).over(order)).withColumn("heading", heading)
-    again = clean_line("line")
-    body = F.sort_array(F.collect_list(F.when(~F.col("heading") & (again != ""), F.struct("line_no", again.alias("line")))))
+    body = F.sort_array(F.collect_list(F.when(~F.col("heading") & (F.col("again") != ""), F.struct("line_no", F.col("again").alias("line")))))
     titled = F.max(F.when(F.col("heading"), F.btrim(F.regexp_replace("line", "^[# ]+", ""))))
     made = rows.groupBy(doc, name, "section").agg(titled.alias("head"), F.transform(body, lambda x: x["line"]).alias("body")).filter(F.size("body") > 0)
     full = docs.select(F.col(doc), F.col(name), clean_lines(text).alias("body")).filter(F.size("body") > 0)
@@ -60,7 +70,7 @@ def clean_pages(pages: DataFrame, doc: str, page: str, text: str, dropped: DataF
     The census knows lines with their bullets, the look-up without: a repeated
     line with bullets at its ends stays.
     """
-    made = exploded_lines(pages, page, text, doc).select(doc, page, "line_no", squeeze(clean_line("raw")).alias("line")).filter("line <> ''")
+    made = made_lines(pages, page, text, lambda t: squeeze(clean_line(t)), doc)
     kept = made.filter(~is_contact("line") & ~is_footer("line") & ~is_bullets("line"))
     return kept.join(dropped.select(doc, "line"), [doc, "line"], "left_anti").select(doc, page, "line_no", "line")
 
@@ -157,4 +167,4 @@ def context_lines(entries: DataFrame, group: str, order: str, own: Column, windo
     return entries.withColumn("own", own).withColumn("context", F.slice(F.array_distinct(gathered), 1, most)).drop("own")
 
 
-__all__ = [n for n in globals() if not n.startswith("_") and n not in ("annotations", "SPACE")]
+__all__ = [n for n in globals() if not n.startswith("_") and n != "annotations"]

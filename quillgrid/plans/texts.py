@@ -53,27 +53,27 @@ def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _REPEATED = f"""
-WITH f AS (SELECT DISTINCT source, doc_id, unnest(list_filter(list_transform({D.lines('text')}, lambda l: {D.squeeze('l')}), lambda l: length(l) >= 8)) AS line FROM documents WHERE source IS NOT NULL),
-n AS (SELECT source, count(*) AS total FROM documents WHERE {D.squeeze('text')} <> '' AND source IS NOT NULL GROUP BY source),
-c AS (SELECT source, line, count(*) AS pages FROM f GROUP BY source, line),
-r AS (SELECT source, line, pages FROM c JOIN n USING (source) WHERE pages >= greatest(2, floor(total * 0.001)) AND ({D.footer('line')} OR length(line) > 16))
+WITH f AS (SELECT DISTINCT lang, doc_id, unnest(list_filter(list_transform({D.lines('text')}, lambda l: {D.squeeze('l')}), lambda l: length(l) >= 8)) AS line FROM documents WHERE lang IS NOT NULL),
+n AS (SELECT lang, count(*) AS total FROM documents WHERE {D.squeeze('text')} <> '' AND lang IS NOT NULL GROUP BY lang),
+c AS (SELECT lang, line, count(*) AS pages FROM f GROUP BY lang, line),
+r AS (SELECT lang, line, pages FROM c JOIN n USING (lang) WHERE pages >= greatest(2, floor(total * 0.0)) AND ({D.footer('line')} OR length(line) > 16))
 """
 
 
-@TEXTS.add("repeated_lines", _REPEATED + "SELECT source, line, pages FROM r")
+@TEXTS.add("repeated_lines", _REPEATED + "SELECT lang, line, pages FROM r")
 def repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """A source as a document, its documents as pages; two pages or a thousandth of them are enough here."""
-    return S.repeated_lines(table(spark, sf, "documents").filter("source IS NOT NULL"), "source", "doc_id", "text", share=0.001, least=2)
+    """A language as a document, its texts as pages; two pages are enough here."""
+    return S.repeated_lines(table(spark, sf, "documents").filter("lang IS NOT NULL"), "lang", "doc_id", "text", share=0.0, least=2)
 
 
 @TEXTS.add("page_clean", _REPEATED + f""",
-l AS (SELECT source, doc_id, unnest({D.lines('text')}) AS raw, generate_subscripts({D.lines('text')}, 1) - 1 AS line_no FROM documents WHERE source IS NOT NULL),
-k AS (SELECT source, doc_id, CAST(line_no AS INTEGER) AS line_no, {D.squeeze(D.clean('raw'))} AS line FROM l)
-SELECT source, doc_id, line_no, line FROM k WHERE line <> '' AND NOT {D.contact('line')} AND NOT {D.footer('line')} AND NOT {D.bullets('line')} AND NOT EXISTS (SELECT 1 FROM r WHERE r.source = k.source AND r.line = k.line)
+l AS (SELECT lang, doc_id, unnest({D.lines('text')}) AS raw, generate_subscripts({D.lines('text')}, 1) - 1 AS line_no FROM documents WHERE lang IS NOT NULL),
+k AS (SELECT lang, doc_id, CAST(line_no AS INTEGER) AS line_no, {D.squeeze(D.clean('raw'))} AS line FROM l)
+SELECT lang, doc_id, line_no, line FROM k WHERE line <> '' AND NOT {D.contact('line')} AND NOT {D.footer('line')} AND NOT {D.bullets('line')} AND NOT EXISTS (SELECT 1 FROM r WHERE r.lang = k.lang AND r.line = k.line)
 """)
 def page_clean(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").filter("source IS NOT NULL")
-    return S.clean_pages(docs, "source", "doc_id", "text", S.repeated_lines(docs, "source", "doc_id", "text", share=0.001, least=2))
+    docs = table(spark, sf, "documents").filter("lang IS NOT NULL")
+    return S.clean_pages(docs, "lang", "doc_id", "text", S.repeated_lines(docs, "lang", "doc_id", "text", share=0.0, least=2))
 
 
 _SECTIONS = f"""
