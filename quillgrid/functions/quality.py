@@ -18,8 +18,34 @@ FOCUSED_PROMPTS = (
     "^关于[“\"]?(.+?)[”\"]?，下列哪项命令或参数写法是正确的[？?]?$",
     "^“(.+?)”对应的内容是[？?]?$",
 )
-NOISY_FOCUS = "^第\\d+讲|^输出文档|^回顾|^拓展阅读|^实践练习|^思考题|^截图来自|^向下翻页$|^下一条|^其赋值格式为$|^数据格式$|^格式$|^规范|^目标$|^横坐标$|^纵坐标$|^第二列$|^第一列$|^[a-zA-Z]$"
-NOISY_MARKERS = "输出文档|向下翻页|截图来自|拓展阅读|实践练习|思考题|回顾"
+NOISY_FOCUS = "|".join(
+    (
+        r"^第\d+讲",
+        r"^输出文档",
+        r"^回顾",
+        r"^拓展阅读",
+        r"^实践练习",
+        r"^思考题",
+        r"^截图来自",
+        r"^向下翻页$",
+        r"^下一条",
+        r"^其赋值格式为$",
+        r"^数据格式$",
+        r"^格式$",
+        r"^规范",
+        r"^目标$",
+        r"^横坐标$",
+        r"^纵坐标$",
+        r"^第二列$",
+        r"^第一列$",
+        r"^[a-zA-Z]$",
+    )
+)
+NOISY_MARKERS = "|".join(
+    (
+        "输出文档", "向下翻页", "截图来自", "拓展阅读", "实践练习", "思考题", "回顾",
+    )
+)
 BAD_OPTIONS = ("#", "*", "-", "--", "不确定")
 ATTRIBUTES = "属性|字段|标签|attribute|tag|参数"
 YEAR_LIKE = "^\\d{2,4}(?:年|月|日)?$"

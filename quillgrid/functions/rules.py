@@ -9,13 +9,27 @@ from .text import col, compact
 
 # Topics in the order in which they are tried, each with its words.
 TOPIC_RULES = {
-    "human-genome-project": "人类基因组计划,HGP,遗传图,物理图,STS,辐射杂交,图谱",
-    "sequencing-methods": "测序,Sanger,链终止,化学降解,ART,Illumina,SAM,读段,平台",
-    "genome-assembly": "组装,de Bru,deBru,DBG,OLC,contig,scaffold,重叠图,mate-pair,paired-end,k-mer,欧拉路径,Hamilton",
-    "alignment-homology": "Blast,BLAST,Clustal,BLOSUM,PAM,同源,比对,蛋白质序列",
-    "annotation-prediction": "注释,GeneMark,GENSCAN,Augustus,RepeatMasker,Gnomon,ProSplign,RNA-Seq,基因结构,新基因",
-    "hmm-regulation": "HMM,隐马尔可夫,CpG,TATA,Forward,Viterbi,Baum-Welch,启动子,转录因子",
-    "genome-databases": "Ensembl,UCSC,Genbank,RefSeq,PubMed,JGI GOLD,数据库",
+    "human-genome-project": (
+        "人类基因组计划", "HGP", "遗传图", "物理图", "STS", "辐射杂交", "图谱",
+    ),
+    "sequencing-methods": (
+        "测序", "Sanger", "链终止", "化学降解", "ART", "Illumina", "SAM", "读段", "平台",
+    ),
+    "genome-assembly": (
+        "组装", "de Bru", "deBru", "DBG", "OLC", "contig", "scaffold", "重叠图", "mate-pair", "paired-end", "k-mer", "欧拉路径", "Hamilton",
+    ),
+    "alignment-homology": (
+        "Blast", "BLAST", "Clustal", "BLOSUM", "PAM", "同源", "比对", "蛋白质序列",
+    ),
+    "annotation-prediction": (
+        "注释", "GeneMark", "GENSCAN", "Augustus", "RepeatMasker", "Gnomon", "ProSplign", "RNA-Seq", "基因结构", "新基因",
+    ),
+    "hmm-regulation": (
+        "HMM", "隐马尔可夫", "CpG", "TATA", "Forward", "Viterbi", "Baum-Welch", "启动子", "转录因子",
+    ),
+    "genome-databases": (
+        "Ensembl", "UCSC", "Genbank", "RefSeq", "PubMed", "JGI GOLD", "数据库",
+    ),
 }
 COMPUTED = "计算|概率|矩阵|图|路径|score|得分|联合输出概率"
 TAG_RULES = {
@@ -27,12 +41,12 @@ TAG_RULES = {
 }
 
 
-def topic_of(text: Column | str, rules: dict[str, str] = TOPIC_RULES, default: str = "general") -> Column:
+def topic_of(text: Column | str, rules: dict[str, tuple[str, ...]] = TOPIC_RULES, default: str = "general") -> Column:
     """The first topic of which any word occurs, letter case aside."""
     low = F.lower(F.coalesce(col(text), F.lit("")))
     out = None
     for topic, words in rules.items():
-        hit = low.rlike("|".join(w.strip().lower() for w in words.split(",")))
+        hit = low.rlike("|".join(w.lower() for w in words))
         out = F.when(hit, topic) if out is None else out.when(hit, topic)
     return F.lit(default) if out is None else out.otherwise(default)
 

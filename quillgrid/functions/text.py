@@ -19,14 +19,16 @@ CONTACT = r"email:|@|wx:|qq:|电话|tel"
 FOOTER = r"all rights reserved|copyright"
 PAGE_NUMBER = r"(?:^|\s)(?:page|页码?)\s*\d+(?:\s*/\s*\d+)?(?:$|\s)"
 STOPWORDS = (
-    "一个 一些 一种 不是 主要 以及 以上 以下 内容 包括 包含 可以 这个 这里 相关 通过 进行 用于 需要 说明 作用 研究 方法 问题 分析 数据 课程 课时 "
-    "example portal slide slides the and for with from that this into using"
-).split()
+    "一个", "一些", "一种", "不是", "主要", "以及", "以上", "以下", "内容", "包括", "包含", "可以", "这个", "这里", "相关", "通过", "进行", "用于", "需要", "说明", "作用", "研究", "方法", "问题",
+    "分析", "数据", "课程", "课时", "example", "portal", "slide", "slides", "the", "and", "for", "with", "from", "that", "this", "into", "using",
+)
 ASCII_TERM = r"[A-Za-z][A-Za-z0-9\-/+.]{1,}"
 CJK_RUN = rf"[{CJK}]{{2,}}"
 CONTACT_MARKERS = r"email:|wx:|qq:|tel|phone|http://|https://|www\."
 EMAIL = r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
-ORGANISATIONS = "大学 学院 学校 系 实验室 college school department faculty university institute".split()
+ORGANISATIONS = (
+    "大学", "学院", "学校", "系", "实验室", "college", "school", "department", "faculty", "university", "institute",
+)
 
 
 def col(x: Column | str) -> Column:

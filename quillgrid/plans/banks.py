@@ -336,7 +336,7 @@ def sample_quiz(spark: SparkSession, sf: str) -> DataFrame:
     return W.sample(pool, "row_id", 50, 11)
 
 
-_RULES = "CASE " + " ".join(f"WHEN {D.has('lower(coalesce(prompt, ' + chr(39) * 2 + '))', '|'.join(w.strip().lower() for w in words.split(',')))} THEN '{topic}'" for topic, words in U.TOPIC_RULES.items()) + " ELSE 'general' END"
+_RULES = "CASE " + " ".join(f"WHEN {D.has('lower(coalesce(prompt, ' + chr(39) * 2 + '))', '|'.join(w.lower() for w in words))} THEN '{topic}'" for topic, words in U.TOPIC_RULES.items()) + " ELSE 'general' END"
 _LETTERS = D.compact("answer")
 _TYPED = f"CASE WHEN {D.has(_LETTERS, '^[A-Z]+$')} AND len(list_filter(string_split({_LETTERS}, ''), lambda c: NOT list_contains(list_transform({_OPTIONS}, lambda o: o.key), c))) = 0 THEN CASE WHEN contains(coalesce(prompt, ''), '[多选]') OR length({_LETTERS}) > 1 THEN 'multiple_choice' ELSE 'single_choice' END WHEN len({_OPTIONS}) > 0 THEN 'short_answer' ELSE 'open_ended' END"
 _CLASSED = f"WITH c AS (SELECT row_id, prompt, analysis, options, {_RULES} AS topic, {_TYPED} AS kind, {_IMAGE} AS image FROM question_bank)"
