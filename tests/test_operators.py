@@ -73,6 +73,15 @@ def test_titles_modules_and_fingerprints(spark):
     assert sorted((r.p, r.pages, r.images) for r in S.unique_pages(pages, "d", "p", "t", "b", F.col("i")).collect()) == [(1, [1, 2], 5), (3, [3], 0)]
 
 
+def test_slides(spark):
+    rows = [(1, ["  Title  here"], ["Title here", "这一行已经足够长所以不会与下一行相连接了", "N1"], ["N1", "补充的说明文字同样足够长所以也单独成行。"]), (2, [], ["第3讲 图谱"], [])]
+    df = spark.createDataFrame(rows, "k int, t array<string>, b array<string>, n array<string>")
+    title, body = S.slide_entry(F.col("t"), F.col("b"), F.col("n"), F.lit("stem"))
+    got = {r.k: (r.title, r.body) for r in df.select("k", title.alias("title"), body.alias("body")).collect()}
+    assert got[1][0] == "Title here" and got[1][1][-1].endswith("单独成行。") and "N1 " not in " ".join(got[1][1][:-1])
+    assert got[2] == ("第3讲 图谱", [])
+
+
 def test_page_alignment_and_context(spark):
     texts = spark.createDataFrame([("f", 1, "a"), ("f", 2, " "), ("f", 3, "b")], "f string, p int, t string")
     counts = spark.createDataFrame([("f", 3)], "f string, n int")
