@@ -52,12 +52,18 @@ b AS (SELECT fact_id, row_id, round(sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * si
 """
 
 
-def _bank_terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Terms of every 50th fact as queries, and of all questions."""
+def _bank_tokens(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Terms in order of every 50th fact as a query, and of every question."""
     text = lambda *c: _document(*[F.coalesce(x, F.lit("")) for x in c])
     facts = table(spark, sf, "kb_facts").filter("fact_id % 50 = 0").select("fact_id", text("question", "answer", "explanation").alias("t"))
     bank = table(spark, sf, "question_bank").select("row_id", text("prompt", "analysis", "topic_name").alias("t"))
-    return R.terms_of(facts, "fact_id", T.search_tokens("t")), R.terms_of(bank, "row_id", T.search_tokens("t"))
+    return facts.select("fact_id", T.search_tokens("t").alias("ts")), bank.select("row_id", T.search_tokens("t").alias("ts"))
+
+
+def _bank_terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Terms of every 50th fact as queries, and of all questions."""
+    asked, held = _bank_tokens(spark, sf)
+    return R.terms_of(asked, "fact_id", F.col("ts")), R.terms_of(held, "row_id", F.col("ts"))
 
 
 @BANKS.add("bm25_topk", _TERMS + "SELECT fact_id, CAST(place AS INTEGER) AS place, row_id, round(bm25, 6) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY round(bm25, 6) DESC, row_id) AS place FROM b) WHERE place <= 5")
@@ -115,10 +121,17 @@ def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     return R.fuzzy(scored, "question", "prompt"), bank.count()
 
 
+def _asked_and_prompts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Questions of every 50th fact, and the prompts of all questions, each with its type."""
+    facts = table(spark, sf, "kb_facts").filter("fact_id % 50 = 0").select("fact_id", T.squeeze("question").alias("question"), F.col("type").alias("wanted"))
+    return facts, table(spark, sf, "question_bank").select("row_id", T.squeeze("prompt").alias("prompt"), "type")
+
+
 @BANKS.add("fuzzy_topk")
 def fuzzy_topk(spark: SparkSession, sf: str) -> DataFrame:
-    scored, _ = _candidates(spark, sf)
-    return R.top(scored, "fact_id", [F.desc("fuzzy"), F.col("row_id")], 5).select("fact_id", "place", "row_id", "fuzzy")
+    facts, bank = _asked_and_prompts(spark, sf)
+    likest = R.likest_texts(bank, "row_id", "prompt", facts, "fact_id", "question", 5)
+    return R.top(likest, "fact_id", [F.desc("fuzzy"), F.col("row_id")], 5).select("fact_id", "place", "row_id", "fuzzy")
 
 
 @BANKS.add("hybrid_rank")

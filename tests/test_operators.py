@@ -268,3 +268,28 @@ def test_figures(spark):
     assert [r[0] for r in df.select(I.is_explainable("t", "s")).collect()] == [False, False, True, False]
     focus = I.summary_focus("t", "s", F.array(F.lit("外显子是编码区")))
     assert [r[0] for r in df.select(focus).collect()] == ["外显子是编码区", "x", "它是图", "外显子是编码区"]
+
+
+def test_the_likest_texts_are_those_of_all_rows(spark):
+    rng = np.random.default_rng(11)
+    words = ["alpha", "beta", "gamma", "基因组装", "断裂点", "in", "of", "x1", "x2", "转座"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 6))) for _ in range(120)] + ["基因组的断裂点与转座元件", "基因组中断裂点和转座子", "zq", None] + ["in of"] * 40
+    rows = [(k, t, "ab"[k % 2]) for k, t in enumerate(texts)]
+    asked = [(1, "基因组内断裂点与转座", "a"), (2, "alpha in gamma", "b"), (3, "of in x1", None), (4, "", "a")]
+    bank = spark.createDataFrame(rows, "k int, t string, c string").repartition(3)
+    queries = spark.createDataFrame(asked, "q int, a string, w string")
+    got = R.likest_texts(bank, "k", "t", queries, "q", "a", 4, "c", "w", least=True, block=2).collect()
+    for q, a, w in asked:
+        every = {k: round(R.token_set_ratio(a, t) / 100, 6) for k, t, _ in rows}
+        mine = {r.k: r.fuzzy for r in got if r.q == q}
+        assert all(every[k] == f for k, f in mine.items())
+        for same in (True, False):
+            first = sorted((k for k, _, c in rows if (c == w) == same), key=lambda k: (-every[k], k))[:4]
+            assert set(first) <= set(mine), (q, same)
+        assert min(mine.values()) == min(every.values())
+
+
+@given(st.text("abc 中", max_size=90), st.lists(st.text("abc 中", max_size=90), min_size=12, max_size=16))
+@settings(max_examples=60, deadline=None)
+def test_many_ratios_are_those_of_one(a, others):
+    assert R.token_set_ratios(a, others) == pytest.approx([R.token_set_ratio(a, b) for b in others])
