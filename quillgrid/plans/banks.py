@@ -112,15 +112,6 @@ def semantic_topk(spark: SparkSession, sf: str) -> DataFrame:
     return R.nearest_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
 
 
-def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
-    """Relevance and letter likeness of every query with the rows that share a term with it."""
-    terms = _bank_terms(spark, sf)
-    bank = table(spark, sf, "question_bank").select("row_id", T.squeeze("prompt").alias("prompt"), "type")
-    facts = table(spark, sf, "kb_facts").select("fact_id", T.squeeze("question").alias("question"), F.col("type").alias("wanted"))
-    scored = R.bm25(*_order(terms)).join(bank, "row_id").join(facts, "fact_id")
-    return R.fuzzy(scored, "question", "prompt"), bank.count()
-
-
 def _asked_and_prompts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Questions of every 50th fact, and the prompts of all questions, each with its type."""
     facts = table(spark, sf, "kb_facts").filter("fact_id % 50 = 0").select("fact_id", T.squeeze("question").alias("question"), F.col("type").alias("wanted"))
@@ -136,10 +127,10 @@ def fuzzy_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @BANKS.add("hybrid_rank")
 def hybrid_rank(spark: SparkSession, sf: str) -> DataFrame:
-    scored, total = _candidates(spark, sf)
-    bonus = F.when(F.col("type") == F.col("wanted"), 0.08).otherwise(0.0)
-    made = R.fused(scored, "fact_id", {"bm25": 0.45, "fuzzy": 0.20}, total, bonus)
-    return R.top(made, "fact_id", [F.desc("score"), F.col("row_id")], 5).select("fact_id", "place", "row_id", "score")
+    """Relevance, cosine of terms and pairs, and letters, each normalised over all rows, and a bonus for the type."""
+    facts, bank = _asked_and_prompts(spark, sf)
+    asked, held = _bank_tokens(spark, sf)
+    return R.hybrid(bank, "row_id", "prompt", "type", held, facts, "fact_id", "question", "wanted", asked, 5)
 
 
 @BANKS.add("lexical_rank", _TERMS + """,

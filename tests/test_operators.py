@@ -289,6 +289,40 @@ def test_the_likest_texts_are_those_of_all_rows(spark):
         assert min(mine.values()) == min(every.values())
 
 
+def normal(values):
+    low, high = min(values), max(values)
+    return [float(high > 0)] * len(values) if high - low < 1e-9 else [(v - low) / (high - low) for v in values]
+
+
+@pytest.mark.parametrize("rows", [4, 70])
+def test_fusion_like_a_loop_over_all_rows(spark, rows):
+    rng = np.random.default_rng(rows)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]
+    bank = [(k, list(dict.fromkeys(rng.choice(words[:6], rng.integers(0, 5)).tolist())), "".join(rng.choice(list("abc 中文"), rng.integers(0, 20))).strip(), "xy"[k % 2]) for k in range(rows)]
+    asked = [(1, ["alpha", "beta"], "ab 中c文a", "x"), (2, ["eta"], "ca b文", "y"), (3, ["gamma", "zeta", "alpha"], "bb", None)]
+    docs = spark.createDataFrame(bank, "k int, ts array<string>, t string, c string")
+    queries = spark.createDataFrame(asked, "q int, ts array<string>, a string, w string")
+    got = R.hybrid(docs.drop("ts"), "k", "t", "c", docs.select("k", "ts"), queries.drop("ts"), "q", "a", "w", queries.select("q", "ts"), 5).collect()
+    grams = lambda ts: set(ts) | {f"{a} {b}" for a, b in zip(ts, ts[1:])}
+    sized = [len(b[1]) for b in bank if b[1]]
+    n, mean = len(sized), sum(sized) / len(sized)
+    df = {w: sum(w in b[1] for b in bank) for w in words if any(w in b[1] for b in bank)}
+    raw = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    every = [grams(b[1]) for b in bank]
+    weight = {g: math.log((1 + rows) / (1 + sum(g in e for e in every))) + 1 for e in every for g in e}
+    norm = lambda gs: math.sqrt(sum(weight[g] ** 2 for g in gs))
+    for q, ts, a, w in asked:
+        own = {g for g in grams(ts) if g in weight}
+        bm25 = [round(sum(idf[x] * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(b[1]) / mean)) for x in ts if x in b[1]), 9) for b in bank]
+        cosine = [round(sum(weight[g] ** 2 for g in own & e) / (norm(own) * norm(e)), 9) if own & e else 0.0 for e in every]
+        fuzzy = [round(R.token_set_ratio(a, b[2]) / 100, 6) for b in bank]
+        score = [0.45 * x + 0.35 * y + 0.20 * z + (0.08 if b[3] == w else 0) for x, y, z, b in zip(normal(bm25), normal(cosine), normal(fuzzy), bank)]
+        want = sorted(range(rows), key=lambda k: (-round(score[k], 6), k))[:5]
+        mine = sorted((r for r in got if r.q == q), key=lambda r: r.place)
+        assert [r.k for r in mine] == want and [r.score for r in mine] == pytest.approx([score[k] for k in want], abs=2e-6)
+
+
 @given(st.text("abc 中", max_size=90), st.lists(st.text("abc 中", max_size=90), min_size=12, max_size=16))
 @settings(max_examples=60, deadline=None)
 def test_many_ratios_are_those_of_one(a, others):
