@@ -327,3 +327,11 @@ def test_fusion_like_a_loop_over_all_rows(spark, rows):
 @settings(max_examples=60, deadline=None)
 def test_many_ratios_are_those_of_one(a, others):
     assert R.token_set_ratios(a, others) == pytest.approx([R.token_set_ratio(a, b) for b in others])
+
+
+def test_nearest_vectors_of_many_copies_are_the_first_ids(spark):
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(600).tolist()
+    df = spark.createDataFrame([(k, [1.0, 0.0] if k % 3 == 0 or k == 1 else [0.6, 0.8]) for k in ids], "k int, v array<double>").coalesce(1)
+    got = R.nearest_vectors(df, "k", "v", F.col("k") == 1, 5).orderBy("place").collect()
+    assert [(r.other, r.cosine) for r in got] == [(k, 1.0) for k in (0, 3, 6, 9, 12)]
