@@ -26,11 +26,16 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .cores import code_points
+
+#: Not a character; it parts the texts of a batch.
+_PART = chr(0x10FFFF)
 # Letters and signs of one shape, as pairs of what they become and what becomes it.
 _SAME_SHAPE = {
     "A": "ΑА", "B": "ΒВ", "C": "СϹ", "E": "ΕЕ", "H": "ΗН", "I": "ΙІӀ", "J": "ЈͿ", "K": "ΚК", "M": "ΜМ", "N": "Ν",
@@ -107,6 +112,8 @@ class Canonical:
         gone = {c for c, to in self.folds.items() if to == ""}
         unstable = joining | changing | set(self.folds)
         u, j = _class(unstable), _class(joining | gone)
+        self.unstable = np.zeros(0x110000, bool)
+        self.unstable[[ord(c) for c in unstable]] = True
         self.segment = re.compile(f"[^{u}]?[{j}][{u}]*|[{u}]+")
         self.known: dict[str, str] = {}
 
@@ -124,6 +131,13 @@ class Canonical:
             return text.strip(" ")
         return self.segment.sub(lambda m: self.normal(m[0]), text).strip(" ")
 
+    def of_all(self, texts: list[str]) -> list[str]:
+        """``of`` each text; the quick check runs over all of them at once, and only texts with an unstable segment are worked on."""
+        points = code_points(_PART.join([t.replace(_PART, " ") if _PART in t else t for t in texts]))
+        mixed = np.zeros(len(texts), bool)
+        mixed[np.cumsum(points == 0x10FFFF, dtype=np.int64)[self.unstable[points]]] = True
+        return [self.of(t) if m else t.strip(" ") for t, m in zip(texts, mixed.tolist(), strict=True)]
+
 
 @lru_cache(maxsize=1)
 def canonical() -> Canonical:
@@ -132,8 +146,9 @@ def canonical() -> Canonical:
 
 @F.pandas_udf(StringType())
 def _form(texts: pd.Series) -> pd.Series:
-    of = canonical().of
-    return pd.Series([None if t is None or t != t else of(t) for t in texts.tolist()], dtype=object)
+    given = [None if t is None or t != t else t for t in texts.tolist()]
+    forms = canonical().of_all(["" if t is None else t for t in given])
+    return pd.Series([None if t is None else f for t, f in zip(given, forms, strict=True)], dtype=object)
 
 
 def canonical_form(text: Column | str) -> Column:
