@@ -75,8 +75,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @LLM.add("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = table(spark, sf_dir, "kb_facts").select(F.lit("fact").alias("rec"), F.col("fact_id").alias("rec_id"), "question", "answer", "type")
-    bank = table(spark, sf_dir, "question_bank").select(F.lit("bank").alias("rec"), F.col("row_id").alias("rec_id"), F.col("prompt").alias("question"), "answer", "type")
+    facts = table(spark, sf_dir, "kb_facts").select(F.lit("fact").alias("rec"), F.col("fact_id").alias("rec_id"), "question", "answer", "type", F.lit(None).cast("array<struct<key:string,text:string>>").alias("options"))
+    bank = table(spark, sf_dir, "question_bank").select(F.lit("bank").alias("rec"), F.col("row_id").alias("rec_id"), F.col("prompt").alias("question"), "answer", "type", "options")
     return defective_pairs(facts.unionByName(bank))
 
 

@@ -11,7 +11,7 @@ from quillgrid.llm.distinctive import most_characteristic, term_weights
 from quillgrid.llm.leaks import Items, leaked_documents, leaks_exact
 from quillgrid.llm.lookalike import canonical, canonical_form, look_alike_pairs
 from quillgrid.llm.mix import Flow, mixture, route, shares
-from quillgrid.llm.pairs import defective_pairs, is_truncated
+from quillgrid.llm.pairs import PLACEHOLDERS, declines, defective_pairs, is_copy, is_truncated, opening
 from quillgrid.llm.spam import features, stuffed_pages
 
 form = canonical().of
@@ -120,6 +120,67 @@ def test_defects(spark):
     assert defective_pairs(df.limit(0)).count() == 0
 
 
+TOPICS = "内含子 外显子 启动子 终止密码子 增强子 微卫星 假基因 转座元件 单倍型块 甲基化岛".split()
+PROMPTS = [f"{a}样本的覆盖曲线与{b}的关系，应如何验证第{k}号记录？" for k, (a, b) in enumerate((a, b) for a in TOPICS for b in TOPICS if a != b)]
+#: Wordings and languages that no list of the code has.
+HELD_OUT = {
+    "refusal": ["Barkatu, ezin diot galdera honi erantzun", "Vabandust, ma ei oska sellele vastata.", "这方面鄙人才疏学浅，容后再议吧。"],
+    "empty": ["尚在整理", "［筹备中］", "hamarosan"],
+}
+
+
+def test_wordings_that_no_list_has(spark):
+    assert not any(declines(a) for a in HELD_OUT["refusal"]) and not any(a.strip("［］") in PLACEHOLDERS for a in HELD_OUT["empty"])
+    rows, want = [], {}
+    for k, q in enumerate(PROMPTS):
+        a = f"{TOPICS[k % 10]}的边界要按第{k}号记录重新确定。"
+        if k % 10 == 3:
+            kind = ("refusal", "empty")[k // 10 % 2]
+            a = HELD_OUT[kind][k // 20 % 3]
+            want[k] = kind
+        rows.append(("t", k, q, a, "open_ended", None))
+    # Each held-out wording recurs; sound answers recur as well.
+    for k, (kind, a) in enumerate((kind, a) for kind in HELD_OUT for a in HELD_OUT[kind]):
+        for j in range(4):
+            rows.append(("r", 10 * k + j, PROMPTS[(17 * k + 5 * j) % len(PROMPTS)], a, None, None))
+            want["r", 10 * k + j] = kind
+    for j in range(6):
+        rows.append(("s", j, PROMPTS[7 * j], ("启动子丢失", "Ab12Cd未收录", "读段过短时没有可用的样本记录。", "AGP", "MX-12的覆盖曲线无法判断外显子，须补测。", "12.5%")[j], None, None))
+        rows.append(("s", 10 + j, PROMPTS[7 * j + 1], ("启动子丢失", "Ab13Cd未收录", "读段过短时没有可用的样本记录。", "AGP", "MX-14的覆盖曲线无法判断外显子，须补测。", "12.5%")[j], None, None))
+    options = [("A", "启动子"), ("B", "增强子")]
+    rows += [("c", 0, PROMPTS[0], "A", "single_choice", options), ("c", 1, PROMPTS[1], "答案马上来", "single_choice", options), ("c", 2, PROMPTS[2], "增强子", "single_choice", options)]
+    rows += [("c", 3, PROMPTS[3], PROMPTS[3], "single_choice", None), ("c", 4, PROMPTS[4], "答案马上来", "open_ended", None)]
+    df = spark.createDataFrame(rows, "rec string, rec_id long, question string, answer string, type string, options array<struct<key string, text string>>")
+    got = {(r.rec, r.rec_id): r.defect for r in defective_pairs(df).collect()}
+    assert {k: got.get(("t", k)) for k in range(len(PROMPTS)) if k in want or ("t", k) in got} == {k: v for k, v in want.items() if isinstance(k, int)}
+    assert {k: got.get(k) for k in want if not isinstance(k, int)} == {k: v for k, v in want.items() if not isinstance(k, int)}
+    assert not [k for k in got if k[0] == "s"]
+    assert {k: v for k, v in got.items() if k[0] == "c"} == {("c", 1): "empty", ("c", 3): "copy", ("c", 4): "empty"}
+
+
+LANGUAGES = [
+    "Odcinek trzeba jeszcze raz sprawdzić, ponieważ pokrycie jest zbyt małe.", "Bölüm yeniden kontrol edilmelidir çünkü kapsama derinliği çok düşük kalıyor.", "يجب فحص هذا المقطع مرة أخرى لأن عمق القراءة منخفض جدا.",
+    "ต้องตรวจสอบส่วนนี้อีกครั้งเพราะความลึกต่ำเกินไป", "इस खंड की फिर से जाँच करनी होगी क्योंकि गहराई बहुत कम है।", "Το τμήμα πρέπει να ελεγχθεί ξανά επειδή το βάθος είναι πολύ μικρό.", "Het gedeelte moet opnieuw worden nagekeken omdat de dekking te laag blijft.", "Avsnittet måste kontrolleras igen eftersom täckningen är alldeles för låg.",
+]
+
+
+@pytest.mark.parametrize("english", [False, True])
+def test_languages_that_no_list_has(spark, english):
+    plain = [f"How would you verify the {a} of the coverage curve when the {b} of record {k} is short?" for k, (a, b) in enumerate(zip("intron exon promoter enhancer insulator pseudogene inversion breakpoint".split(), "window border draft sample library marker cluster profile".split(), strict=True))]
+    asked = plain if english else PROMPTS[:8]
+    sound = [f"The coverage of the {w} in record {k} is short, so the window and the border of the sample have to be verified." if english else f"{w}的覆盖曲线在记录{k}里没有变化。" for k, w in enumerate("intron exon promoter enhancer insulator pseudogene inversion breakpoint".split())]
+    rows = [("f", k, asked[k], a, None) for k, a in enumerate(LANGUAGES)] + [("s", k, asked[k], a, None) for k, a in enumerate(sound)] + [("p", k, q, "AGP", None) for k, q in enumerate(asked * 3)]
+    got = {(r.rec, r.rec_id): r.defect for r in defective_pairs(spark.createDataFrame(rows, "rec string, rec_id long, question string, answer string, type string")).collect()}
+    assert got == {("f", k): "language" for k in range(len(LANGUAGES))}
+
+
+def test_copies_with_labels_and_without_characters():
+    q = "How should the window of record 12 be verified when the sample is short"
+    assert all(is_copy(q, a) for a in (q, "Question: " + q + "?", "The question was as follows: " + q, q.upper(), q.replace("of record 12", "of record 1"), q + " " + q, q + " (see above)", f"[{q}]"))
+    assert not any(is_copy(q, a) for a in (q + ": the border moves.", "AGP", "the window", q + ": AGP and BED", "short")) and not is_copy("", "x")
+    assert opening("抱歉，AB12不行。然后") == "抱歉，#不行。"
+
+
 def test_a_bare_term_is_no_truncation():
     assert not is_truncated("the open reading frame of Pag81") and is_truncated("The training set follows the heavy-tailed signal of Mhp67 in most runs, whi")
     assert not is_truncated("x" * 5 + "。") and is_truncated("长" * 100000)
