@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from ..runtime import BROADCAST_LIMIT
-from .cores import MinHasher, core_hashes, cores, distinct_windows, mix
+from .cores import MinHasher, core_digests, core_hashes, cores, distinct_windows, mix
 
 ROWS_A_BLOCK = 4
 SKETCH_BITS = 64
@@ -180,27 +180,36 @@ def in_bitmap(bitmap: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
 
-def collect_bitmap(sets: DataFrame, bits: int) -> Broadcast:
-    """The union of bitmaps, broadcast; ``sets`` has rows (chunk int, bytes binary) of equal chunks.
+def collect_bitmap(numbers: DataFrame, bits: int) -> Broadcast:
+    """The set of ``numbers`` (a column ``number``) as a bitmap, broadcast.
 
-    The driver gets bits / 8 bytes, whatever the number of rows.
+    Numbers go to the task of their chunk, which alone builds it: each chunk is
+    shipped once, whatever the number of rows and tasks, and the driver gets
+    bits / 8 bytes at most.
     """
+    size = chunk_bytes(bits)
 
-    def union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole: dict[int, np.ndarray] = {}
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for chunk, raw in zip(batch["chunk"], batch["bytes"], strict=True):
-                new = np.frombuffer(raw, np.uint8)
-                whole[chunk] = whole[chunk] | new if chunk in whole else new
-        yield pd.DataFrame([(k, v.tobytes()) for k, v in whole.items()], columns=["chunk", "bytes"])
+            at = np.unique(bitmap_places(batch["number"].to_numpy(np.int64), bits))
+            yield pd.DataFrame({"chunk": (at // (size * 8)).astype(np.int32), "at": (at % (size * 8)).astype(np.int32)})
 
-    size = chunk_bytes(bits)
-    parts = bits // 8 // size
-    rows = sets.repartition(min(parts, 64), "chunk").mapInPandas(union, "chunk int, bytes binary").collect()
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            chunks, at = batch["chunk"].to_numpy(), batch["at"].to_numpy()
+            for chunk in np.unique(chunks).tolist():
+                whole = held.setdefault(chunk, np.zeros(size, np.uint8))
+                mine = at[chunks == chunk]
+                np.bitwise_or.at(whole, mine >> 3, np.uint8(1) << (mine & 7).astype(np.uint8))
+        yield pd.DataFrame([(k, v.tobytes()) for k, v in held.items()], columns=["chunk", "bytes"])
+
+    parts = min(bits // 8 // size, 64)
+    rows = numbers.mapInPandas(place, "chunk int, at int").repartition(parts, "chunk").mapInPandas(build, "chunk int, bytes binary").collect()
     bitmap = np.zeros(bits // 8, np.uint8)
     for row in rows:
         bitmap[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(row["bytes"], np.uint8)
-    return sets.sparkSession.sparkContext.broadcast(bitmap)
+    return numbers.sparkSession.sparkContext.broadcast(bitmap)
 
 
 def chunk_bytes(bits: int) -> int:
@@ -229,4 +238,4 @@ def texts_of(column: pd.Series) -> list[str]:
     return ["" if t is None or t != t else t for t in column.tolist()]
 
 
-__all__ = [n for n in globals() if not n.startswith("_")] + ["core_hashes", "cores"]
+__all__ = [n for n in globals() if not n.startswith("_")] + ["core_digests", "core_hashes", "cores"]

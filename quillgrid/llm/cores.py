@@ -89,19 +89,25 @@ def distinct_windows(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return key & _TOKEN_MASK, (key >> _DOC_SHIFT).astype(np.int64)
 
 
-def core_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of the whole core of each text, and the core's length."""
+def core_digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of the whole core of each text, the core's length, and a second hash."""
     points, owner = cores(texts)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros((2, len(texts)), np.uint64)
     sizes = np.bincount(owner, minlength=len(texts)) if len(points) else np.zeros(len(texts), np.int64)
     if len(points):
         starts = np.cumsum(sizes) - sizes
         place = np.arange(len(points), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
-        parts = mix((points.astype(np.uint64) << np.uint64(32)) ^ (place * np.uint64(0x9E3779B97F4A7C15)))
         has = sizes > 0
-        out[has] = np.add.reduceat(parts, starts[has])
-        out = mix(out ^ sizes.astype(np.uint64))
-    return out, sizes
+        for k, seed in enumerate((np.uint64(0), np.uint64(0xD6E8FEB86659FD93))):
+            parts = mix((points.astype(np.uint64) << np.uint64(32)) ^ (place * np.uint64(0x9E3779B97F4A7C15)) ^ seed)
+            out[k, has] = np.add.reduceat(parts, starts[has])
+            out[k] = mix(out[k] ^ sizes.astype(np.uint64))
+    return out[0], sizes, out[1]
+
+
+def core_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of the whole core of each text, and the core's length."""
+    return core_digests(texts)[:2]
 
 
 class MinHasher:

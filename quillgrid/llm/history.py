@@ -51,15 +51,14 @@ _SPACES = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 def _key_bitmap(batch: DataFrame, n: int, tables: int) -> tuple[int, object]:
     bits = B.bitmap_bits(batch.count() * tables)
 
-    def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prints, one = B.Fingerprints(n, tables), B.BitmapBuilder(bits)
+    def keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        prints = B.Fingerprints(n, tables)
         for part in parts:
             texts = B.texts_of(part["text"])
             for a, b in B.steps(texts):
-                one.add(prints.of(texts[a:b])[1].ravel())
-        yield one.rows()
+                yield pd.DataFrame({"number": B.signed(np.unique(prints.of(texts[a:b])[1]))})
 
-    return bits, B.collect_bitmap(batch.select("text").mapInPandas(build, "chunk int, bytes binary"), bits)
+    return bits, B.collect_bitmap(batch.select("text").mapInPandas(keys, "number long"), bits)
 
 
 def entries(rows: DataFrame, *, n: int, shards: int, tables: int = TABLES, bitmap: object = None) -> DataFrame:
@@ -128,15 +127,7 @@ def _candidates(packed: DataFrame, shards: int, least: int) -> DataFrame:
 
 def _bodies(rows: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
     """(core, body) of the classes in ``wanted``, each once."""
-    bits = B.bitmap_bits(count)
-
-    def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = B.BitmapBuilder(bits)
-        for part in parts:
-            one.add(part["core"].to_numpy())
-        yield one.rows()
-
-    bitmap = B.collect_bitmap(wanted.mapInPandas(build, "chunk int, bytes binary"), bits)
+    bitmap = B.collect_bitmap(wanted.select(F.col("core").alias("number")), B.bitmap_bits(count))
 
     def pick(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -2,15 +2,24 @@
 
 Method
 ------
-Texts are partitioned into groups of similar texts (equal blocks of minwise
-fingerprints; see ``blocks``), each group stores the union of its members'
-tokens as two bit masks, every text's overlap with a group is bounded by those
-masks, and only qualifying groups are opened.  What the open groups yield is
-held against the exact likeness of the whole texts.
+Texts are partitioned into groups of similar texts: a text's home is the least
+class it shares a block of minwise values with (``blocks``), over all its
+blocks, and a home of many texts is cut into groups of about ``GROUP``.  Every
+group stores the union of its members' tokens: as bit masks of their sketches,
+and as the windows of their whole texts.  A text is a query to every other
+group it shares a block with.  The masks bound its agreement with any member,
+then the union of windows bounds its overlap: a member of likeness t shares t
+of the query's windows at least, so a group whose union holds fewer is never
+opened.  The groups that qualify are opened, and the query is held against the
+windows of each member, which is the exact likeness.
 
-Exact copies have one core and are one class: they share every token, so a
-class takes part once and its members are joined back at the end.  A class of
-a third of all rows costs its batch one entry a table after packing.
+Exact copies have one core and are one class (a 64-bit hash; copies are joined
+on 128 bits): a class takes part once and its members are joined back at the
+end.  A class of a third of all rows costs its batch one entry a table after
+packing.  A block of many texts meets its groups in a join of small rows that
+AQE splits; queries to one group go in blocks of ``QUERIES``.  No text is
+shuffled for a pair: a member goes to its group, a query to each group whose
+masks admit it.
 
 Defined results
 ---------------
@@ -31,15 +40,18 @@ from pyspark.sql import functions as F
 
 from ..runtime import checkpoint, shuffle_partitions
 from . import blocks as B
-from .cores import core_string
-from .verify import with_likeness
+from .cores import core_string, distinct_windows
 
 TABLES = 28
-#: 64 sketch bits agree with probability (1 + t) / 2; four deviations below that for t = 0.7.
 ENTRIES_A_SHARD = 1_500_000
+#: Members of a group, about; queries to one group in one block, about.
+GROUP, QUERIES = 32, 4096
+#: Windows of pairs that are compared at once.
+STEP_TOKENS = 4_000_000
 
 
 def least_agreement(threshold: float) -> int:
+    """64 sketch bits agree with probability (1 + t) / 2; four deviations below that."""
     p = (1 + threshold) / 2
     return int(B.SKETCH_BITS * p - 4 * np.sqrt(B.SKETCH_BITS * p * (1 - p)))
 
@@ -60,87 +72,188 @@ def _entries(docs: DataFrame, n: int, tables: int, shards: int) -> DataFrame:
     return docs.select("text").mapInPandas(emit, B.ENTRY_SCHEMA)
 
 
-def _candidates(entries: DataFrame, shards: int, least: int) -> DataFrame:
-    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _runs(entries: DataFrame, shards: int) -> DataFrame:
+    """(key, core, sketch, leader) of the blocks that several classes share; the leader is the least of these."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, core, sketch = B.unpack((x for batch in batches for x in batch["entries"]), 3)
         order = np.lexsort((core, keys))
         keys, core, sketch = keys[order], core[order], sketch[order]
         new = np.r_[True, (keys[1:] != keys[:-1]) | (core[1:] != core[:-1])] if len(keys) else np.empty(0, bool)
         keys, core, sketch = keys[new], core[new], sketch[new]
-        held, size = [], 0
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(keys)])
+        leader = np.repeat(core[starts], sizes)
+        several = np.repeat(sizes > 1, sizes)
+        columns = {"key": keys, "core": core, "sketch": sketch, "leader": leader}
+        for a in range(0, len(keys), B.CHUNK):
+            part = slice(a, a + B.CHUNK)
+            yield pd.DataFrame({k: B.signed(v[part][several[part]]) for k, v in columns.items()})
 
-        def put() -> pd.DataFrame:
-            a, b = B.distinct_pairs(held)
-            held.clear()
-            return pd.DataFrame({"a": a, "b": b})
+    return entries.repartition(shards, "shard").mapInPandas(keep, "key long, core long, sketch long, leader long")
 
-        for i, j in B.pairs_of_runs(keys, sketch, least):
-            x, y = B.signed(core[i]), B.signed(core[j])
-            held.append((np.minimum(x, y), np.maximum(x, y)))
-            size += len(i)
-            if size > 4 * B.CHUNK:
-                yield put()
-                size = 0
-        if size:
-            yield put()
 
-    return entries.repartition(shards, "shard").mapInPandas(pair, "a long, b long").distinct()
+def _grouped(runs: DataFrame) -> DataFrame:
+    """(core, sketch, gid): the partition of all classes that share a block with another."""
+    home = runs.groupBy("core").agg(F.min("leader").alias("home"), F.first("sketch").alias("sketch"))
+    large = home.groupBy("home").agg(F.count("*").alias("size")).filter(F.col("size") > GROUP)
+    part = F.pmod(F.xxhash64("core"), F.ceil(F.col("size") / GROUP))
+    return home.join(large, "home", "left").select("core", "sketch", F.xxhash64("home", F.coalesce(part, F.lit(0))).alias("gid"))
 
 
-def members(docs: DataFrame, key: str, n: int, wanted: DataFrame, count: int) -> DataFrame:
-    """(key, core, body) of rows with a window: the core's hash, and the core itself if the hash may be in ``wanted``.
+def _asked(runs: DataFrame, groups: DataFrame, least: int) -> DataFrame:
+    """(core, sketch, gid): the queries to groups of other texts that the masks of sketches admit, from the lesser group to the greater."""
+    cells = checkpoint(runs.select("key", "core").join(groups, "core"))
+    masks = cells.groupBy("key", F.col("gid").alias("to")).agg(F.bit_or("sketch").alias("ones"), F.bit_or(F.bitwise_not("sketch")).alias("zeros"))
+    agree = F.bit_count(F.col("sketch").bitwiseAND(F.col("ones")).bitwiseOR(F.bitwise_not(F.col("sketch")).bitwiseAND(F.col("zeros"))))
+    met = cells.join(masks, "key").filter((F.col("gid") < F.col("to")) & (agree >= least))
+    return met.select("core", "sketch", F.col("to").alias("gid")).distinct()
 
-    ``wanted``: a column ``core``, ``count`` of them or fewer.
-    """
-    bits = B.bitmap_bits(count)
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = B.BitmapBuilder(bits)
-        for batch in batches:
-            one.add(batch["core"].to_numpy())
-        yield one.rows()
+def classes_of(docs: DataFrame, key: str, n: int, wanted: DataFrame, count: int) -> DataFrame:
+    """(key, core, digest, body) of rows with a window: two hashes of the core, and the core itself if the first may be in ``wanted``.
 
-    bitmap = B.collect_bitmap(wanted.mapInPandas(build, "chunk int, bytes binary"), bits)
+    ``wanted``: a column ``core``, ``count`` of them or fewer.
+    """
+    bitmap = B.collect_bitmap(wanted.select(F.col("core").alias("number")), B.bitmap_bits(count))
 
     def hash_cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = B.texts_of(batch["text"])
             for a, b in B.steps(texts):
-                core, length = B.core_hashes(texts[a:b])
+                core, length, digest = B.core_digests(texts[a:b])
                 own = np.flatnonzero(length >= n)
                 hit = B.in_bitmap(bitmap.value, core)
-                bodies = [core_string(texts[a + k]) if hit[k] else None for k in own]
-                yield pd.DataFrame({key: batch[key].iloc[a + own], "core": B.signed(core)[own], "body": pd.Series(bodies, dtype=object, index=batch[key].iloc[a + own].index)})
+                names = batch[key].iloc[a + own]
+                bodies = pd.Series([core_string(texts[a + k]) if hit[k] else None for k in own], dtype=object, index=names.index)
+                yield pd.DataFrame({key: names, "core": B.signed(core)[own], "digest": B.signed(digest)[own], "body": bodies})
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInPandas(hash_cores, f"{key} {kind}, core long, body string")
+    return docs.select(key, "text").mapInPandas(hash_cores, f"{key} {kind}, core long, digest long, body string")
+
+
+def _positions(sizes: np.ndarray) -> np.ndarray:
+    """0 .. size - 1 for each of ``sizes``, end to end."""
+    return np.arange(int(sizes.sum()), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _shared(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Windows that texts i and j share, pair by pair."""
+    out = np.zeros(len(i), np.int64)
+    ends = np.cumsum(sizes[i] + sizes[j])
+    a = 0
+    while a < len(i):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + STEP_TOKENS, side="right")))
+        text = np.concatenate([i[a:b], j[a:b]])
+        at = np.repeat(starts[text], sizes[text]) + _positions(sizes[text])
+        pair = np.repeat(np.r_[np.arange(b - a), np.arange(b - a)].astype(np.uint64), sizes[text])
+        key = (pair << np.uint64(44)) | tokens[at]
+        key.sort()
+        out[a:b] = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(44)).astype(np.int64), minlength=b - a)
+        a = b
+    return out
+
+
+def open_groups(group: np.ndarray, member: np.ndarray, home: np.ndarray, sketch: np.ndarray, texts: list[str], n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int]]:
+    """Rows i and j of like texts, their likeness, and counts of what was asked and opened.
+
+    ``group``: the rows' groups, ascending from 0; ``member``: whether a row is
+    a member or a query; ``home``: whether members are compared among themselves.
+    """
+    tokens, owner = distinct_windows(texts, n)
+    sizes = np.bincount(owner, minlength=len(texts))
+    starts = np.cumsum(sizes) - sizes
+    cell = (group[owner].astype(np.uint64) << np.uint64(44)) | tokens
+    union = np.unique(cell[member[owner]])
+    at = np.minimum(np.searchsorted(union, cell), max(0, len(union) - 1))
+    held = union[at] == cell if len(union) else np.zeros(len(cell), bool)
+    bound = np.bincount(owner[held], minlength=len(texts))
+    opens = np.where(member, home, bound >= threshold * sizes - 1e-9)
+    order = np.lexsort((~member, group))  # members first
+    count = np.bincount(group[member], minlength=int(group.max(initial=-1)) + 1)
+    all_of = np.bincount(group, minlength=len(count))
+    first = np.cumsum(all_of) - all_of
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    asks = np.flatnonzero(opens & (count[group] > 0)) if len(count) else np.empty(0, np.int64)
+    many = count[group[asks]]
+    i = np.repeat(asks, many)
+    j = order[np.repeat(first[group[asks]], many) + _positions(many)]
+    once = ~member[i] | (place[j] > place[i])
+    i, j = i[once], j[once]
+    near = B.agreeing(sketch[i], sketch[j]) >= least_agreement(threshold)
+    i, j = i[near], j[near]
+    able = np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9
+    i, j = i[able], j[able]
+    both = _shared(tokens, starts, sizes, i, j)
+    like = both / np.maximum(1, sizes[i] + sizes[j] - both)
+    good = like >= threshold
+    figures = {"queries": int((~member).sum()), "opened": int((~member & opens).sum()), "compared": len(i), "found": int(good.sum())}
+    return i[good], j[good], like[good], figures
+
+
+def _matrix(rows: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, likeness) from rows (gid, part, core, sketch, body, member), of which one (gid, part) lies in one partition, in order."""
+
+    def links(held: pd.DataFrame) -> pd.DataFrame:
+        group = np.r_[0, np.cumsum((held["gid"].to_numpy()[1:] != held["gid"].to_numpy()[:-1]) | (held["part"].to_numpy()[1:] != held["part"].to_numpy()[:-1]))]
+        core = held["core"].to_numpy()
+        i, j, like, _ = open_groups(group.astype(np.int64), held["member"].to_numpy(), held["part"].to_numpy() == 0, held["sketch"].to_numpy().view(np.uint64), B.texts_of(held["body"]), n, threshold)
+        x, y = core[i], core[j]
+        differ = x != y
+        return pd.DataFrame({"a": np.minimum(x, y)[differ], "b": np.maximum(x, y)[differ], "likeness": like[differ]})
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, chars = [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            chars += int(batch["body"].str.len().sum())
+            if chars < B.STEP_CHARS:
+                continue
+            whole = pd.concat(held, ignore_index=True)
+            last = whole.iloc[-1]
+            cut = len(whole) - int(((whole["gid"] == last["gid"]) & (whole["part"] == last["part"])).sum())
+            if cut:  # the last group may go on in the next batch
+                yield links(whole.iloc[:cut].reset_index(drop=True))
+                whole = whole.iloc[cut:].reset_index(drop=True)
+            held, chars = [whole], int(whole["body"].str.len().sum())
+        if held:
+            yield links(pd.concat(held, ignore_index=True))
+
+    return rows.mapInPandas(walk, "a long, b long, likeness double")
 
 
 def class_links(docs: DataFrame, key: str, *, n: int, threshold: float, tables: int = TABLES) -> tuple[DataFrame, DataFrame]:
-    """(core a, core b, likeness) of linked classes, and the classes' (key, core) members."""
+    """(core a, core b, likeness) of linked classes, and the classes' (key, core, digest) members."""
     spark = docs.sparkSession
     shards = max(shuffle_partitions(spark), docs.count() * tables // ENTRIES_A_SHARD)
-    found = checkpoint(_candidates(_entries(docs, n, tables, shards), shards, least_agreement(threshold)))
-    wanted = found.select(F.explode(F.array("a", "b")).alias("core"))
-    rows = checkpoint(members(docs, key, n, wanted, 2 * found.count()))
+    runs = checkpoint(_runs(_entries(docs, n, tables, shards), shards))
+    groups = checkpoint(_grouped(runs))
+    asked = checkpoint(_asked(runs, groups, least_agreement(threshold)))
+    # Groups take part that are asked, or have several members.
+    asked_of = asked.groupBy("gid").agg(F.count("*").alias("asked"))
+    parts = groups.groupBy("gid").agg(F.count("*").alias("size")).join(asked_of, "gid", "left")
+    parts = parts.filter("size > 1 OR asked > 0").select("gid", F.greatest(F.lit(1), F.ceil(F.coalesce("asked", F.lit(0)) / QUERIES)).cast("int").alias("parts"))
+    members = groups.join(parts, "gid").select("core", "sketch", "gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"))
+    queries = asked.join(parts, "gid").select("core", "sketch", "gid", F.pmod(F.xxhash64("core"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("member"))
+    cells = checkpoint(members.unionByName(queries))
+    rows = checkpoint(classes_of(docs, key, n, cells.select("core"), cells.count()))
     bodies = rows.filter(F.col("body").isNotNull()).groupBy("core").agg(F.first("body").alias("body"))
-    left = bodies.select(F.col("core").alias("a"), F.col("body").alias("body_a"))
-    right = bodies.select(F.col("core").alias("b"), F.col("body").alias("body_b"))
-    scored = with_likeness(found.join(left, "a").join(right, "b"), "body_a", "body_b", n)
-    return scored.filter(F.col("likeness") >= threshold).select("a", "b", "likeness"), rows.select(key, "core", "body")
+    laid = cells.join(bodies, "core").repartition(shuffle_partitions(spark), "gid", "part").sortWithinPartitions("gid", "part")
+    return _matrix(laid.select("gid", "part", "core", "sketch", "body", "member"), n, threshold).distinct(), rows.select(key, "core", "digest")
 
 
 def near_duplicate_pairs(df: DataFrame, key: str, text: Column, *, n: int = 4, threshold: float = 0.7) -> DataFrame:
     """Pairs (key_a, key_b), key_a < key_b, of rows whose likeness by ``n`` reaches ``threshold``."""
     docs = df.select(F.col(key), F.coalesce(text, F.lit("")).alias("text")).filter(F.col(key).isNotNull())
     links, rows = class_links(docs, key, n=n, threshold=threshold)
-    rows = rows.select(key, "core")
-    several = rows.groupBy("core").count().filter(F.col("count") > 1).select("core")
-    copied = rows.join(several, "core", "left_semi")
+    several = rows.groupBy("core", "digest").count().filter(F.col("count") > 1).select("core", "digest")
+    copied = rows.join(several, ["core", "digest"], "left_semi")
     left = rows.select(F.col(key).alias("x"), F.col("core").alias("a"))
     right = rows.select(F.col(key).alias("y"), F.col("core").alias("b"))
     between = links.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
-    within = copied.select(F.col(key).alias("x"), "core").join(copied.select(F.col(key).alias("y"), "core"), "core").select("x", "y")
+    within = copied.select(F.col(key).alias("x"), "core", "digest").join(copied.select(F.col(key).alias("y"), "core", "digest"), ["core", "digest"]).select("x", "y")
     between = between.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     return between.unionByName(within).filter(F.col("x") < F.col("y")).select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b"))
-
