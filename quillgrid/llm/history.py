@@ -69,7 +69,8 @@ def entries(rows: DataFrame, *, n: int, shards: int, tables: int = TABLES, bitma
         for part in parts:
             texts, orders = B.texts_of(part["text"]), part["ord"].to_numpy(np.int64)
             for a, b in B.steps(texts):
-                own, keys, sketch = prints.of(texts[a:b])
+                own, keys, words = prints.of(texts[a:b])
+                sketch = words[:, 0]
                 core = B.core_hashes(texts[a:b])[0][own]
                 order = orders[a:b][own]
                 first = np.lexsort((order, core))  # of copies within the step, the earliest
@@ -143,7 +144,7 @@ def _bodies(rows: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
 
 def _first_like(packed: DataFrame, texts: DataFrame, batch: DataFrame, shards: int, n: int, threshold: float) -> DataFrame:
     """(key, ord) rows of the batch that have an earlier like prompt."""
-    found = checkpoint(_candidates(packed, shards, least_agreement(threshold)))
+    found = checkpoint(_candidates(packed, shards, least_agreement(threshold, 64)))
     wanted = found.filter("core <> other").select(F.explode(F.array("core", "other")).alias("core"))
     bodies = checkpoint(_bodies(texts, wanted, 2 * found.count()))
     left = bodies.select("core", F.col("body").alias("body_a"))

@@ -4,7 +4,8 @@ Method
 ------
 Texts are partitioned into groups of similar texts: a text's home is the least
 class it shares a block of minwise values with (``blocks``), over all its
-blocks, and a home of many texts is cut into groups of about ``GROUP``.  Every
+blocks, and a home of many texts is cut into groups of about ``GROUP`` (by the
+size of the block through which a text came to it).  Every
 group stores the union of its members' tokens: as bit masks of their sketches,
 and as the windows of their whole texts.  A text is a query to every other
 group it shares a block with.  The masks bound its agreement with any member,
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import checkpoint, shuffle_partitions
@@ -46,17 +47,21 @@ TABLES = 28
 ENTRIES_A_SHARD = 1_500_000
 #: Members of a group, about; queries to one group in one block, about.
 GROUP, QUERIES = 32, 4096
+#: Texts of a block that one task may pair with its groups.
+HOT = 4096
 #: Windows of pairs that are compared at once.
 STEP_TOKENS = 4_000_000
 
 
-def least_agreement(threshold: float) -> int:
-    """64 sketch bits agree with probability (1 + t) / 2; four deviations below that."""
+def least_agreement(threshold: float, bits: int = B.SKETCH_BITS) -> int:
+    """Sketch bits agree with probability (1 + t) / 2; four deviations below that."""
     p = (1 + threshold) / 2
-    return int(B.SKETCH_BITS * p - 4 * np.sqrt(B.SKETCH_BITS * p * (1 - p)))
+    return int(bits * p - 4 * np.sqrt(bits * p * (1 - p)))
 
 
 def _entries(docs: DataFrame, n: int, tables: int, shards: int) -> DataFrame:
+    """Packed (block, class) by shard of the block, and in shards of their own packed (class, sketch), which no table repeats."""
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prints = B.Fingerprints(n, tables)
         for batch in batches:
@@ -67,47 +72,82 @@ def _entries(docs: DataFrame, n: int, tables: int, shards: int) -> DataFrame:
                 order = np.argsort(core, kind="stable")  # copies within the step are one entry
                 order = order[np.r_[True, core[order][1:] != core[order][:-1]]] if len(order) else order
                 core, keys, sketch = core[order], keys[order], sketch[order]
-                yield B.sharded(keys.ravel(), shards, [keys.ravel(), np.repeat(core, tables), np.repeat(sketch, tables)])
+                yield B.sharded(keys.ravel(), shards, [keys.ravel(), np.repeat(core, tables)])
+                own_shards = B.sharded(core, shards, [core, *sketch.T])
+                own_shards["shard"] += shards
+                yield own_shards
 
     return docs.select("text").mapInPandas(emit, B.ENTRY_SCHEMA)
 
 
 def _runs(entries: DataFrame, shards: int) -> DataFrame:
-    """(key, core, sketch, leader) of the blocks that several classes share; the leader is the least of these."""
+    """(key, size, core, leader) of the blocks that several classes share, the leader being the least of these, and (core, s0, s1) of all."""
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, core, sketch = B.unpack((x for batch in batches for x in batch["entries"]), 3)
+        blobs = []
+        for batch in batches:
+            for shard, blob in zip(batch["shard"], batch["entries"], strict=True):
+                if shard < shards:
+                    blobs.append(blob)
+                else:
+                    core, s0, s1 = B.unpack([blob], 3)
+                    yield pd.DataFrame({"key": None, "size": None, "core": B.signed(core), "leader": None, "s0": B.signed(s0), "s1": B.signed(s1)})
+        keys, core = B.unpack(blobs, 2)
         order = np.lexsort((core, keys))
-        keys, core, sketch = keys[order], core[order], sketch[order]
+        keys, core = keys[order], core[order]
         new = np.r_[True, (keys[1:] != keys[:-1]) | (core[1:] != core[:-1])] if len(keys) else np.empty(0, bool)
-        keys, core, sketch = keys[new], core[new], sketch[new]
+        keys, core = keys[new], core[new]
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
         sizes = np.diff(np.r_[starts, len(keys)])
-        leader = np.repeat(core[starts], sizes)
+        columns = {"key": keys, "size": np.repeat(sizes, sizes).astype(np.uint64), "core": core, "leader": np.repeat(core[starts], sizes)}
         several = np.repeat(sizes > 1, sizes)
-        columns = {"key": keys, "core": core, "sketch": sketch, "leader": leader}
         for a in range(0, len(keys), B.CHUNK):
             part = slice(a, a + B.CHUNK)
-            yield pd.DataFrame({k: B.signed(v[part][several[part]]) for k, v in columns.items()})
+            yield pd.DataFrame({k: B.signed(v[part][several[part]]) for k, v in columns.items()} | {"s0": None, "s1": None})
+
+    return entries.repartition(shards, F.col("shard") % shards).mapInPandas(keep, "key long, size long, core long, leader long, s0 long, s1 long")
 
-    return entries.repartition(shards, "shard").mapInPandas(keep, "key long, core long, sketch long, leader long")
+
+def _agree(x: str, y: str) -> Column:
+    """Equal bits of two sketches."""
+    return sum((F.bit_count(F.bitwise_not(F.col(f"{x}s{k}").bitwiseXOR(F.col(f"{y}s{k}")))) for k in range(B.SKETCH_WORDS)), F.lit(0))
 
 
 def _grouped(runs: DataFrame) -> DataFrame:
-    """(core, sketch, gid): the partition of all classes that share a block with another."""
-    home = runs.groupBy("core").agg(F.min("leader").alias("home"), F.first("sketch").alias("sketch"))
-    large = home.groupBy("home").agg(F.count("*").alias("size")).filter(F.col("size") > GROUP)
-    part = F.pmod(F.xxhash64("core"), F.ceil(F.col("size") / GROUP))
-    return home.join(large, "home", "left").select("core", "sketch", F.xxhash64("home", F.coalesce(part, F.lit(0))).alias("gid"))
+    """(key, size, core, s0, s1, gid, head): the blocks of all classes that share one, with their groups; one row of each class is its head."""
+    of_class = Window.partitionBy("core")
+    home = F.min(F.when(F.col("key").isNotNull(), F.struct("leader", F.ceil(F.col("size") / GROUP).alias("parts")))).over(of_class)
+    own = [home.alias("home"), F.min("key").over(of_class).alias("least"), *[F.max(s).over(of_class).alias(s) for s in ("s0", "s1")]]
+    cells = runs.select("key", "size", "core", *own).filter(F.col("key").isNotNull())
+    gid = F.xxhash64("home.leader", "home.parts", F.pmod(F.xxhash64("core"), F.col("home.parts")))
+    return cells.select("key", "size", "core", "s0", "s1", gid.alias("gid"), (F.col("key") == F.col("least")).alias("head"))
+
+
+def _met(cells: DataFrame, least: int) -> DataFrame:
+    """(core, s0, s1, gid): the queries to groups of other texts that the masks of sketches admit, from the lesser group to the greater."""
+    unions = [f(s).alias(f"{name}{s}") for s in ("s0", "s1") for name, f in (("one_", F.bit_or), ("zero_", lambda s: F.bit_or(F.bitwise_not(F.col(s)))))]
+    masks = cells.groupBy("key", F.col("gid").alias("to")).agg(*unions)
+    held = [F.bit_count(F.col(s).bitwiseAND(F.col(f"one_{s}")).bitwiseOR(F.bitwise_not(F.col(s)).bitwiseAND(F.col(f"zero_{s}")))) for s in ("s0", "s1")]
+    met = cells.join(masks, "key").filter((F.col("gid") < F.col("to")) & (held[0] + held[1] >= least))
+    return met.select("core", "s0", "s1", F.col("to").alias("gid"))
+
+
+def _asked(cells: DataFrame, least: int) -> DataFrame:
+    """All queries, each once.
+
+    Blocks of few texts are shuffled once, for the masks and the join; those of
+    more than HOT texts twice, so that their join can be split among tasks.
+    """
+    kept = cells.select("key", "size", "core", "s0", "s1", "gid")
+    few = kept.filter(F.col("size") <= HOT).repartition(shuffle_partitions(cells.sparkSession), "key")
+    return _met(few, least).unionByName(_met(kept.filter(F.col("size") > HOT), least)).distinct()
 
 
-def _asked(runs: DataFrame, groups: DataFrame, least: int) -> DataFrame:
-    """(core, sketch, gid): the queries to groups of other texts that the masks of sketches admit, from the lesser group to the greater."""
-    cells = checkpoint(runs.select("key", "core").join(groups, "core"))
-    masks = cells.groupBy("key", F.col("gid").alias("to")).agg(F.bit_or("sketch").alias("ones"), F.bit_or(F.bitwise_not("sketch")).alias("zeros"))
-    agree = F.bit_count(F.col("sketch").bitwiseAND(F.col("ones")).bitwiseOR(F.bitwise_not(F.col("sketch")).bitwiseAND(F.col("zeros"))))
-    met = cells.join(masks, "key").filter((F.col("gid") < F.col("to")) & (agree >= least))
-    return met.select("core", "sketch", F.col("to").alias("gid")).distinct()
+def _paired(groups: DataFrame, least: int) -> DataFrame:
+    """(gid): the groups two members of which may be alike."""
+    one = groups.select("gid", *[F.col(c).alias(f"x_{c}") for c in ("core", "s0", "s1")])
+    two = groups.select("gid", *[F.col(c).alias(f"y_{c}") for c in ("core", "s0", "s1")])
+    return one.join(two, "gid").filter((F.col("x_core") < F.col("y_core")) & (_agree("x_", "y_") >= least)).select("gid").distinct()
 
 
 def classes_of(docs: DataFrame, key: str, n: int, wanted: DataFrame, count: int) -> DataFrame:
@@ -193,12 +233,12 @@ def open_groups(group: np.ndarray, member: np.ndarray, home: np.ndarray, sketch:
 
 
 def _matrix(rows: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, likeness) from rows (gid, part, core, sketch, body, member), of which one (gid, part) lies in one partition, in order."""
+    """(a, b, likeness) from rows (gid, part, core, s0, s1, body, member), of which one (gid, part) lies in one partition, in order."""
 
     def links(held: pd.DataFrame) -> pd.DataFrame:
         group = np.r_[0, np.cumsum((held["gid"].to_numpy()[1:] != held["gid"].to_numpy()[:-1]) | (held["part"].to_numpy()[1:] != held["part"].to_numpy()[:-1]))]
         core = held["core"].to_numpy()
-        i, j, like, _ = open_groups(group.astype(np.int64), held["member"].to_numpy(), held["part"].to_numpy() == 0, held["sketch"].to_numpy().view(np.uint64), B.texts_of(held["body"]), n, threshold)
+        i, j, like, _ = open_groups(group.astype(np.int64), held["member"].to_numpy(), held["part"].to_numpy() == 0, held[["s0", "s1"]].to_numpy().view(np.uint64), B.texts_of(held["body"]), n, threshold)
         x, y = core[i], core[j]
         differ = x != y
         return pd.DataFrame({"a": np.minimum(x, y)[differ], "b": np.maximum(x, y)[differ], "likeness": like[differ]})
@@ -229,31 +269,29 @@ def class_links(docs: DataFrame, key: str, *, n: int, threshold: float, tables:
     """(core a, core b, likeness) of linked classes, and the classes' (key, core, digest) members."""
     spark = docs.sparkSession
     shards = max(shuffle_partitions(spark), docs.count() * tables // ENTRIES_A_SHARD)
-    runs = checkpoint(_runs(_entries(docs, n, tables, shards), shards))
-    groups = checkpoint(_grouped(runs))
-    asked = checkpoint(_asked(runs, groups, least_agreement(threshold)))
-    # Groups take part that are asked, or have several members.
-    asked_of = asked.groupBy("gid").agg(F.count("*").alias("asked"))
-    parts = groups.groupBy("gid").agg(F.count("*").alias("size")).join(asked_of, "gid", "left")
-    parts = parts.filter("size > 1 OR asked > 0").select("gid", F.greatest(F.lit(1), F.ceil(F.coalesce("asked", F.lit(0)) / QUERIES)).cast("int").alias("parts"))
-    members = groups.join(parts, "gid").select("core", "sketch", "gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"))
-    queries = asked.join(parts, "gid").select("core", "sketch", "gid", F.pmod(F.xxhash64("core"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("member"))
+    blocks = checkpoint(_grouped(_runs(_entries(docs, n, tables, shards), shards)))
+    groups = blocks.filter("head").select("core", "s0", "s1", "gid")
+    least = least_agreement(threshold)
+    asked = checkpoint(_asked(blocks, least))
+    # Groups take part that are asked, or that may hold a pair.
+    parts = asked.groupBy("gid").agg(F.count("*").alias("asked")).unionByName(_paired(groups, least).withColumn("asked", F.lit(0).cast("long")))
+    parts = parts.groupBy("gid").agg(F.greatest(F.lit(1), F.ceil(F.sum("asked") / QUERIES)).cast("int").alias("parts"))
+    members = groups.join(parts, "gid").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("member", F.lit(True)).drop("parts")
+    queries = asked.join(parts, "gid").withColumn("part", F.pmod(F.xxhash64("core"), F.col("parts")).cast("int")).withColumn("member", F.lit(False)).drop("parts")
     cells = checkpoint(members.unionByName(queries))
     rows = checkpoint(classes_of(docs, key, n, cells.select("core"), cells.count()))
     bodies = rows.filter(F.col("body").isNotNull()).groupBy("core").agg(F.first("body").alias("body"))
     laid = cells.join(bodies, "core").repartition(shuffle_partitions(spark), "gid", "part").sortWithinPartitions("gid", "part")
-    return _matrix(laid.select("gid", "part", "core", "sketch", "body", "member"), n, threshold).distinct(), rows.select(key, "core", "digest")
+    return _matrix(laid.select("gid", "part", "core", "s0", "s1", "body", "member"), n, threshold).distinct(), rows.select(key, "core", "digest")
 
 
 def near_duplicate_pairs(df: DataFrame, key: str, text: Column, *, n: int = 4, threshold: float = 0.7) -> DataFrame:
     """Pairs (key_a, key_b), key_a < key_b, of rows whose likeness by ``n`` reaches ``threshold``."""
     docs = df.select(F.col(key), F.coalesce(text, F.lit("")).alias("text")).filter(F.col(key).isNotNull())
     links, rows = class_links(docs, key, n=n, threshold=threshold)
-    several = rows.groupBy("core", "digest").count().filter(F.col("count") > 1).select("core", "digest")
-    copied = rows.join(several, ["core", "digest"], "left_semi")
-    left = rows.select(F.col(key).alias("x"), F.col("core").alias("a"))
-    right = rows.select(F.col(key).alias("y"), F.col("core").alias("b"))
+    left = rows.select(F.col(key).alias("x"), F.col("core").alias("a"), F.col("digest").alias("d"))
+    right = rows.select(F.col(key).alias("y"), F.col("core").alias("b"), F.col("digest").alias("e"))
     between = links.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
-    within = copied.select(F.col(key).alias("x"), "core", "digest").join(copied.select(F.col(key).alias("y"), "core", "digest"), ["core", "digest"]).select("x", "y")
+    within = left.join(right, (F.col("a") == F.col("b")) & (F.col("d") == F.col("e")) & (F.col("x") < F.col("y"))).select("x", "y")
     between = between.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     return between.unionByName(within).filter(F.col("x") < F.col("y")).select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b"))
