@@ -1,7 +1,8 @@
 """Bit fingerprints cut into blocks, tables of blocks, and the pairs that share one.
 
 A text's fingerprint has ``tables`` blocks of 32 bits (four minwise values of
-eight bits each) and a sketch of 128 bits (one bit of as many minwise values).  Two texts
+eight bits each) and a sketch of 128 bits, the lowest of each of its bytes (of
+further minwise values where the blocks have fewer bytes).  Two texts
 of likeness J agree in a block with probability about J**4, so one of 28 blocks
 agrees with probability 0.9996 at J = 0.7 and 0.99995 at 0.75; each bit of the
 sketch agrees with probability (1 + J) / 2.
@@ -47,7 +48,7 @@ class Fingerprints:
         """The texts that have a window; a row of block keys and one of sketch words for each."""
         docs, values = self.hasher.matrix(*distinct_windows(texts, self.n))
         spread = values * np.uint32(0x9E3779B1)
-        bits = (spread[:, :SKETCH_BITS] >> np.uint32(13)) & np.uint32(1)
+        bits = (spread[:, :SKETCH_BITS] >> np.uint32(24)) & np.uint32(1)
         words = bits.reshape(len(docs), SKETCH_WORDS, 64).astype(np.uint64)
         sketch = (words << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
         parts = (spread[:, : self.tables * ROWS_A_BLOCK] >> np.uint32(24)).astype(np.uint64)
@@ -170,9 +171,9 @@ def signed(x: np.ndarray) -> np.ndarray:
 # Sets of numbers as bitmaps -------------------------------------------------
 
 
-def bitmap_bits(count: int) -> int:
-    """Bits for ``count`` numbers: about 16 each, never over BROADCAST_LIMIT."""
-    return min(BROADCAST_LIMIT * 8, 1 << max(16, (16 * max(1, count) - 1).bit_length()))
+def bitmap_bits(count: int, each: int = 16) -> int:
+    """Bits for ``count`` numbers: about ``each`` of them, never over BROADCAST_LIMIT."""
+    return min(BROADCAST_LIMIT * 8, 1 << max(16, (each * max(1, count) - 1).bit_length()))
 
 
 def bitmap_places(numbers: np.ndarray, bits: int) -> np.ndarray:

@@ -2,19 +2,23 @@
 
 Method
 ------
-Each prompt has a bit fingerprint (``blocks``): blocks of 32 bits, each the key
-of one table of a rotation, and a 64-bit sketch.  A new text looks up the rows
-that have one of its blocks exactly, the Hamming distance of the sketches and
-then the whole texts are verified, and the batch's own entries are appended, so
-later rows meet them.  Blocks are cut from minwise values, whose bits differ
-with probability (1 - J) / 2 and so follow likeness more sharply than signs of
-random projections (README).
-
-History is not worked through again: its rows pass a bitmap of the batch's
-blocks (size bound BROADCAST_LIMIT; beyond it more rows pass, none is lost),
-and only what hits is shuffled.  ``write_history`` keeps the entries of
-accepted rows as a table in a folder, ``check_batch`` holds a batch against
-that table and appends to it.
+A prompt's fingerprint has 1,024 bits: 32 blocks of 32 (``blocks``; four
+minwise values of eight bits each).  Table r of the store is the fingerprint
+rotated by r blocks, so that block r leads and is looked up; an entry keeps that
+block, the class of the prompt and a fixed sample of 64 bits of the fingerprint,
+one of each of its first 64 bytes.  A new batch looks up the entries that have
+one of its blocks exactly, verifies the Hamming distance of the samples and
+then the whole texts, and is appended, so later batches meet it.  Bits are of
+minwise values and differ with probability (1 - J) / 2, which follows likeness
+more sharply than signs of random projections do (README).
+
+History is fingerprinted once, when it is written.  A batch reads the stored
+blocks, of which a bitmap of its own blocks (size bound BROADCAST_LIMIT; beyond
+it more entries pass, none is lost) lets through what it hits, and the stored
+rows, of which only those are passed on that a candidate or an id asks for.
+Entries of one block meet in a join of small rows, which AQE splits where one
+block is hot.  A batch counts as accepted when its mark is written, which is
+the last step; what an interrupted run left is overwritten by the next.
 
 Defined results
 ---------------
@@ -25,203 +29,197 @@ Defined results
 * earlier: any history row, or a batch row with a smaller order value; equal
   order values are not earlier than each other
 * empty history or batch: rows of the batch are held against what there is
+* batches are worked on in ascending order of their numbers, rows without one
+  last; a row is held against its own batch and those before it
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import checkpoint, shuffle_partitions
+from ..runtime import Folder, checkpoint, shared_folder
 from . import blocks as B
 from .cores import core_string
-from .neardup import ENTRIES_A_SHARD, least_agreement
+from .neardup import least_agreement
 from .verify import with_likeness
 
 TABLES = 32
+#: Bits of a fingerprint that an entry keeps, and of a bitmap for each number.
+SAMPLE, BITS_EACH = 64, 64
 #: Order value of every history row: before any batch row.
 ACCEPTED = -(1 << 62)
+#: Entries that travel and are stored as one value, about.
+PACKED = 1 << 18
 _SPACES = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+_ROWS = "core long, digest long, id string, idh long, ord long, body string"
+_ENTRIES = "entries binary"
+_HITS = "key long, core long, sample long, ord long"
 
 
-def _key_bitmap(batch: DataFrame, n: int, tables: int) -> tuple[int, object]:
-    bits = B.bitmap_bits(batch.count() * tables)
+def _plain_rows(rows: DataFrame, n: int) -> DataFrame:
+    """(core, digest, id, idh, ord, body) of rows (id, text, ord); body is null where a text has no window."""
 
-    def keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prints = B.Fingerprints(n, tables)
+    def hash_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts = B.texts_of(part["text"])
             for a, b in B.steps(texts):
-                yield pd.DataFrame({"number": B.signed(np.unique(prints.of(texts[a:b])[1]))})
+                core, length, digest = B.core_digests(texts[a:b])
+                bodies = [core_string(t) if k >= n else None for t, k in zip(texts[a:b], length.tolist(), strict=True)]
+                own = {"core": B.signed(core), "digest": B.signed(digest), "ord": part["ord"].to_numpy()[a:b], "body": pd.Series(bodies, dtype=object)}
+                yield pd.DataFrame(own | {c: part[c].iloc[a:b].reset_index(drop=True) for c in ("id", "idh")})
 
-    return bits, B.collect_bitmap(batch.select("text").mapInPandas(keys, "number long"), bits)
+    plain = F.regexp_replace(F.lower("id"), _SPACES, "")
+    ids = rows.select(F.when(F.length(plain) > 0, plain).alias("id"), "text", "ord")
+    return ids.select("id", F.when(F.col("id").isNotNull(), F.xxhash64("id")).alias("idh"), "text", "ord").mapInPandas(hash_rows, _ROWS)
 
 
-def entries(rows: DataFrame, *, n: int, shards: int, tables: int = TABLES, bitmap: object = None) -> DataFrame:
-    """Packed (block, core, sketch, order) of rows (text, ord); with ``bitmap``, of the blocks in it."""
+def _entries(rows: DataFrame, n: int, tables: int) -> DataFrame:
+    """Packed (block, class, sample, order) of stored rows, copies of one step with one order value once."""
 
     def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prints = B.Fingerprints(n, tables)
         for part in parts:
-            texts, orders = B.texts_of(part["text"]), part["ord"].to_numpy(np.int64)
-            for a, b in B.steps(texts):
-                own, keys, words = prints.of(texts[a:b])
-                sketch = words[:, 0]
-                core = B.core_hashes(texts[a:b])[0][own]
-                order = orders[a:b][own]
-                first = np.lexsort((order, core))  # of copies within the step, the earliest
-                first = first[np.r_[True, core[first][1:] != core[first][:-1]]] if len(first) else first
-                if len(part) and (order != ACCEPTED).any():
-                    first = np.arange(len(core))
-                keys, columns = keys[first].ravel(), [np.repeat(x[first], tables) for x in (core, sketch, order.view(np.uint64))]
-                hit = B.in_bitmap(bitmap.value, keys) if bitmap is not None else np.ones(len(keys), bool)
-                yield B.sharded(keys[hit], shards, [keys[hit], *(c[hit] for c in columns)])
-
-    return rows.select("text", "ord").mapInPandas(emit, B.ENTRY_SCHEMA)
-
-
-def _candidates(packed: DataFrame, shards: int, least: int) -> DataFrame:
-    """(core, other, ord): a batch row's class, a class it may be like, and the latter's earliest order value.
-
-    Exact copies share all blocks; a class is its own candidate if it has an earlier member.
-    """
-
-    def pair(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, core, sketch, order = B.unpack((x for part in parts for x in part["entries"]), 4)
-        order = B.signed(order)
-        by = np.lexsort((order, core, keys))
-        keys, core, sketch, order = keys[by], core[by], sketch[by], order[by]
-        head = np.r_[True, (keys[1:] != keys[:-1]) | (core[1:] != core[:-1])] if len(keys) else np.empty(0, bool)
-        starts = np.flatnonzero(head)
-        keys, core, sketch, first = keys[starts], core[starts], sketch[starts], order[starts]
-        last = order[np.r_[starts[1:], len(order)] - 1] if len(starts) else first
-        new = last != ACCEPTED  # classes with a row of the batch
-        several = new & (last > first)
-        if several.any():
-            a, o = B.distinct_pairs([(B.signed(core[several]), first[several])])
-            yield pd.DataFrame({"core": a, "other": a, "ord": o})
-        held, size = [], 0
-
-        def put() -> pd.DataFrame:
-            a, b, o = B.distinct_pairs(held)
-            held.clear()
-            return pd.DataFrame({"core": a, "other": b, "ord": o})
-
-        for i, j in B.pairs_of_runs(keys, sketch, least):
-            for x, y in ((i, j), (j, i)):
-                use = new[x] & (first[y] < last[x])
-                held.append((B.signed(core[x[use]]), B.signed(core[y[use]]), first[y[use]]))
-                size += int(use.sum())
-            if size > 4 * B.CHUNK:
-                yield put()
-                size = 0
-        if size:
-            yield put()
-
-    found = packed.repartition(shards, "shard").mapInPandas(pair, "core long, other long, ord long")
-    return found.groupBy("core", "other").agg(F.min("ord").alias("ord"))
-
-
-def _bodies(rows: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
-    """(core, body) of the classes in ``wanted``, each once."""
-    bitmap = B.collect_bitmap(wanted.select(F.col("core").alias("number")), B.bitmap_bits(count))
-
-    def pick(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            texts = B.texts_of(part["text"])
-            for a, b in B.steps(texts):
-                core, _ = B.core_hashes(texts[a:b])
-                hit = np.flatnonzero(B.in_bitmap(bitmap.value, core))
-                yield pd.DataFrame({"core": B.signed(core[hit]), "body": pd.Series([core_string(texts[a + k]) for k in hit], dtype=object)})
+            bodies, orders, classes = B.texts_of(part["body"]), part["ord"].to_numpy(np.int64), part["core"].to_numpy(np.int64)
+            for a, b in B.steps(bodies):
+                own, keys, words = prints.of(bodies[a:b])
+                core, order = classes[a:b][own].view(np.uint64), orders[a:b][own]
+                by = np.lexsort((order, core))
+                new = np.r_[True, (core[by][1:] != core[by][:-1]) | (order[by][1:] != order[by][:-1])] if len(by) else np.empty(0, bool)
+                by = by[new]
+                columns = [keys[by].ravel(), *[np.repeat(x[by], tables) for x in (core, words[:, 0], order.view(np.uint64))]]
+                sort = np.argsort(columns[0], kind="stable")
+                columns = [c[sort] for c in columns]
+                yield pd.DataFrame({"entries": [B.pack([c[k : k + PACKED] for c in columns]) for k in range(0, len(sort), PACKED)]})
 
-    found = rows.select("text").mapInPandas(pick, "core long, body string")
-    return found.groupBy("core").agg(F.first("body").alias("body"))
+    return rows.filter(F.col("body").isNotNull()).select("core", "ord", "body").mapInPandas(emit, _ENTRIES)
 
 
-def _first_like(packed: DataFrame, texts: DataFrame, batch: DataFrame, shards: int, n: int, threshold: float) -> DataFrame:
-    """(key, ord) rows of the batch that have an earlier like prompt."""
-    found = checkpoint(_candidates(packed, shards, least_agreement(threshold, 64)))
-    wanted = found.filter("core <> other").select(F.explode(F.array("core", "other")).alias("core"))
-    bodies = checkpoint(_bodies(texts, wanted, 2 * found.count()))
-    left = bodies.select("core", F.col("body").alias("body_a"))
-    right = bodies.select(F.col("core").alias("other"), F.col("body").alias("body_b"))
-    scored = with_likeness(found.filter("core <> other").join(left, "core").join(right, "other"), "body_a", "body_b", n)
-    like = scored.filter(F.col("likeness") >= threshold).select("core", "ord").unionByName(found.filter("core = other").select("core", "ord"))
-    first = like.groupBy("core").agg(F.min("ord").alias("first"))
+def _opened(entries: DataFrame, bitmap: object = None) -> DataFrame:
+    """Rows (key, core, sample, ord) of packed entries; with ``bitmap``, of the blocks in it."""
 
-    def hash_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            core, _ = B.core_hashes(B.texts_of(part["text"]))
-            yield pd.DataFrame({"ord": part["ord"], "core": B.signed(core)})
-
-    own = batch.select("text", "ord").mapInPandas(hash_rows, "ord long, core long")
-    return own.join(first, "core").filter(F.col("first") < F.col("ord")).select("ord")
-
-
-def _same_id(history_ids: DataFrame, batch: DataFrame) -> DataFrame:
-    """Order values of batch rows whose id an earlier row has."""
-    plain = lambda c: F.regexp_replace(F.lower(c), _SPACES, "")
-    ids = history_ids.select(plain(F.col("id")).alias("id"), F.lit(ACCEPTED).alias("ord")).unionByName(batch.select(plain(F.col("id")).alias("id"), "ord"))
-    ids = ids.filter(F.length("id") > 0)
-    first = ids.groupBy("id").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter(F.col("last") > F.col("first")).select("id", "first")
-    own = batch.select(plain(F.col("id")).alias("id"), "ord")
-    return own.join(first, "id").filter(F.col("first") < F.col("ord")).select("ord")
-
-
-def repeats(history: DataFrame, batch: DataFrame, *, key: str, id_column: str, text: str, n: int = 3, threshold: float = 0.7) -> DataFrame:
-    """The ``key`` of each batch row that is not new.  ``key`` orders the batch and is a BIGINT."""
-    old = history.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.lit(ACCEPTED).cast("long").alias("ord"))
-    new = batch.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(key).cast("long").alias("ord")).filter(F.col("ord").isNotNull())
-    spark = batch.sparkSession
-    rows = old.unionByName(new)
-    _, bitmap = _key_bitmap(new, n, TABLES)
-    shards = max(shuffle_partitions(spark), 4 * new.count() * TABLES // ENTRIES_A_SHARD)
-    packed = entries(rows, n=n, shards=shards, bitmap=bitmap)
-    like = _first_like(packed, rows, new, shards, n, threshold)
-    return like.unionByName(_same_id(old, new)).distinct().select(F.col("ord").alias(key))
-
-
-# A store of accepted rows -----------------------------------------------------
-
-#: The store's shards; fixed, so that entries of any batch meet in one shard.
-STORE_SHARDS = 256
-
-
-def write_history(rows: DataFrame, folder: str, *, key: str, id_column: str, text: str, n: int = 3, mode: str = "append") -> None:
-    """Entries, ids and texts of accepted rows, appended to the store in ``folder``."""
-    own = rows.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.lit(ACCEPTED).cast("long").alias("ord"))
-    entries(own, n=n, shards=STORE_SHARDS).write.mode(mode).parquet(f"{folder}/entries")
-    own.write.mode(mode).parquet(f"{folder}/rows")
+            for blob in part["entries"]:
+                columns = B.unpack([blob], 4)
+                hit = B.in_bitmap(bitmap.value, columns[0]) if bitmap is not None else slice(None)
+                yield pd.DataFrame({k: B.signed(c[hit]) for k, c in zip(("key", "core", "sample", "ord"), columns, strict=True)})
+
+    return entries.mapInPandas(unpack, _HITS)
+
+
+def _bitmap(numbers: DataFrame, count: int) -> object:
+    return B.collect_bitmap(numbers, B.bitmap_bits(count, BITS_EACH))
+
+
+class History:
+    """The store of accepted rows in a folder that every machine shares."""
+
+    def __init__(self, spark: SparkSession, folder: str, n: int = 3, tables: int = TABLES):
+        self.spark, self.n, self.tables = spark, n, tables
+        self.root = Folder(spark, folder)
+
+    def accepted(self) -> list[str]:
+        return sorted(self.root.names("accepted"))
+
+    def _write(self, rows: DataFrame, batch: str) -> None:
+        """Rows (id, text, ord) as a batch that is not accepted yet."""
+        _plain_rows(rows, self.n).write.mode("overwrite").parquet(self.root.path("rows", batch))
+        _entries(self._rows([batch]), self.n, self.tables).write.mode("overwrite").parquet(self.root.path("entries", batch))
+
+    def _rows(self, batches: list[str]) -> DataFrame:
+        return self.spark.read.schema(_ROWS).parquet(*[self.root.path("rows", b) for b in batches])
+
+    def _stored(self, batches: list[str]) -> DataFrame:
+        return self.spark.read.schema(_ENTRIES).parquet(*[self.root.path("entries", b) for b in batches])
+
+    def append(self, rows: DataFrame) -> str:
+        """Rows (id, text, ord), accepted; the name of their batch."""
+        batch = f"{len(self.accepted()):08d}"
+        self._write(rows, batch)
+        self.root.mark("accepted", batch)
+        return batch
+
+    def check(self, rows: DataFrame, threshold: float) -> DataFrame:
+        """Order values of the rows (id, text, ord) that are not new; the rows are accepted afterwards."""
+        before = self.accepted()
+        batch = f"{len(before):08d}"
+        self._write(rows, batch)
+        new, every = self._rows([batch]), [*before, batch]
+        size = new.count()
+        own = _opened(self._stored([batch]))
+        keys = _bitmap(own.select(F.col("key").alias("number")), size * self.tables)
+        met = _opened(self._stored(every), keys).select("key", F.col("core").alias("other"), F.col("sample").alias("theirs"), F.col("ord").alias("since"))
+        distance = F.bit_count(F.col("sample").bitwiseXOR(F.col("theirs")))
+        close = (F.col("core") != F.col("other")) & (F.col("since") < F.col("ord")) & (distance <= SAMPLE - least_agreement(threshold, SAMPLE))
+        found = checkpoint(own.join(met, "key").filter(close).groupBy("core", "other").agg(F.min("since").alias("since")))
+        asked = found.select(F.col("other").alias("number")).unionByName(new.select(F.col("core").alias("number")))
+        cores, ids = _bitmap(asked, found.count() + size), _bitmap(new.filter(F.col("idh").isNotNull()).select(F.col("idh").alias("number")), size)
+
+        def pick(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                texts = part["body"].notna().to_numpy() & B.in_bitmap(cores.value, part["core"].to_numpy(np.int64))
+                same = part["idh"].notna().to_numpy() & B.in_bitmap(ids.value, part["idh"].fillna(0).to_numpy(np.int64))
+                out = part[texts | same].copy()
+                out.loc[~texts[texts | same], "body"] = None
+                yield out
+
+        held = checkpoint(self._rows(every).mapInPandas(pick, _ROWS))
+        bodies = held.filter(F.col("body").isNotNull()).groupBy("core").agg(F.first("body").alias("body"))
+        theirs = bodies.select(F.col("core").alias("other"), F.col("body").alias("body_b"))
+        scored = with_likeness(found.join(bodies.withColumnRenamed("body", "body_a"), "core").join(theirs, "other"), "body_a", "body_b", self.n)
+        since = scored.filter(F.col("likeness") >= threshold).groupBy("core").agg(F.min("since").alias("since"))
+        like = new.filter(F.col("body").isNotNull()).join(since, "core").filter(F.col("since") < F.col("ord")).select("ord")
+        copies = held.filter(F.col("body").isNotNull()).groupBy("core", "digest").agg(F.min("ord").alias("since"))
+        copied = new.filter(F.col("body").isNotNull()).join(copies, ["core", "digest"]).filter(F.col("since") < F.col("ord")).select("ord")
+        named = held.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("ord").alias("since"))
+        same = new.join(named, "id").filter(F.col("since") < F.col("ord")).select("ord")
+        out = checkpoint(like.unionByName(copied).unionByName(same).distinct())
+        self.root.mark("accepted", batch)
+        for sent in (keys, cores, ids):
+            sent.destroy()
+        return out
+
+
+def _named(rows: DataFrame, key: str | None, id_column: str, text: str) -> DataFrame:
+    order = F.lit(ACCEPTED).cast("long") if key is None else F.col(key).cast("long")
+    return rows.select(F.col(id_column).alias("id"), F.col(text).alias("text"), order.alias("ord")).filter(F.col("ord").isNotNull())
+
+
+def write_history(rows: DataFrame, folder: str, *, key: str, id_column: str, text: str, n: int = 3) -> None:
+    """Accepted rows, appended to the store in ``folder`` as earlier than any batch."""
+    History(rows.sparkSession, folder, n).append(_named(rows, None, id_column, text))
 
 
 def check_batch(spark: SparkSession, folder: str, batch: DataFrame, *, key: str, id_column: str, text: str, n: int = 3, threshold: float = 0.7) -> DataFrame:
-    """Keys of the batch's rows that are not new, against the store; the batch is appended to it afterwards.
-
-    The stored entries are read, not made again.
-    """
-    new = batch.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(key).cast("long").alias("ord")).filter(F.col("ord").isNotNull())
-    _, bitmap = _key_bitmap(new, n, TABLES)
-
-    def passing(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for blob in part["entries"]:
-                columns = B.unpack([blob], 4)
-                hit = B.in_bitmap(bitmap.value, columns[0])
-                if hit.any():
-                    yield B.sharded(columns[0][hit], STORE_SHARDS, [c[hit] for c in columns])
+    """Keys of the batch's rows that are not new, against the store; the batch is appended to it afterwards."""
+    return History(spark, folder, n).check(_named(batch, key, id_column, text), threshold).select(F.col("ord").alias(key))
 
-    old = spark.read.parquet(f"{folder}/rows")
-    stored = spark.read.parquet(f"{folder}/entries").mapInPandas(passing, B.ENTRY_SCHEMA)
-    packed = stored.unionByName(entries(new, n=n, shards=STORE_SHARDS))
-    like = _first_like(packed, old.unionByName(new), new, STORE_SHARDS, n, threshold)
-    found = checkpoint(like.unionByName(_same_id(old, new)).distinct().select(F.col("ord").alias(key)))
-    write_history(batch, folder, key=key, id_column=id_column, text=text, n=n)
-    return found
 
+def repeats(history: DataFrame, incoming: DataFrame, *, key: str, id_column: str, text: str, batch: str | None = None, n: int = 3, threshold: float = 0.7) -> DataFrame:
+    """The ``key`` of each incoming row that is not new.  ``key`` orders the rows and is a BIGINT.
 
-def text_of(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+    The store is built once; ``batch`` names the column of batch numbers, which
+    are worked on one after the other, each against all before it.
+    """
+    spark = incoming.sparkSession
+    folder = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    names = {"key": key, "id_column": id_column, "text": text}
+    try:
+        write_history(history, folder, n=n, **names)
+        numbers = [r[0] for r in incoming.select(batch).distinct().collect()] if batch else [None]
+        found = []
+        for number in sorted(numbers, key=lambda x: (x is None, x)):
+            part = incoming.filter(F.col(batch).eqNullSafe(F.lit(number))) if batch else incoming
+            found.append(check_batch(spark, folder, part, n=n, threshold=threshold, **names))
+    finally:
+        Folder(spark, folder).delete()
+    if not found:
+        return incoming.select(F.col(key).cast("long").alias(key)).limit(0)
+    return reduce(DataFrame.unionByName, found)

@@ -69,7 +69,7 @@ SELECT a.row_id FROM r a JOIN r b ON a.id = b.id AND a.new = 1 AND a.id <> '' AN
 @LLM.add("p3_found", _P3_SQL)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(
-        table(spark, sf_dir, "question_bank"), table(spark, sf_dir, "incoming_questions"), key="row_id", id_column="id", text="prompt", n=3, threshold=0.7
+        table(spark, sf_dir, "question_bank"), table(spark, sf_dir, "incoming_questions"), key="row_id", id_column="id", text="prompt", batch="batch_no", n=3, threshold=0.7
     )
 
 
