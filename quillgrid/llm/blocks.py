@@ -14,7 +14,7 @@ pairing are array operations.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -75,20 +75,16 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _unplanes(raw: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel()
-
-
 def pack(columns: list[np.ndarray]) -> bytes:
     return b"".join(_planes(c) for c in columns)
 
 
 def unpack(blobs: Iterable[bytes], columns: int) -> list[np.ndarray]:
-    parts = []
-    for blob in blobs:
-        raw = np.frombuffer(blob, np.uint8).reshape(columns, -1)
-        parts.append([_unplanes(c) for c in raw])
-    return [np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.uint64) for k in range(columns)]
+    raw = [np.frombuffer(blob, np.uint8).reshape(columns, 8, -1) for blob in blobs]
+    if not raw:
+        return [np.empty(0, np.uint64) for _ in range(columns)]
+    whole = np.concatenate(raw, axis=2)
+    return [np.ascontiguousarray(c.T).view(np.uint64).ravel() for c in whole]
 
 
 def sharded(keys: np.ndarray, shards: int, columns: list[np.ndarray]) -> pd.DataFrame:
@@ -186,8 +182,8 @@ def in_bitmap(bitmap: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
 
-def collect_bitmap(numbers: DataFrame, bits: int) -> Broadcast:
-    """The set of ``numbers`` (a column ``number``) as a bitmap, broadcast.
+def collect_bitmap(numbers: DataFrame, bits: int, of: Callable[[pd.DataFrame], np.ndarray] = lambda batch: batch["number"].to_numpy(np.int64)) -> Broadcast:
+    """The set of ``numbers`` (a column ``number``, or what ``of`` finds in a batch) as a bitmap, broadcast.
 
     Numbers go to the task of their chunk, which alone builds it: each chunk is
     shipped once, whatever the number of rows and tasks, and the driver gets
@@ -197,7 +193,7 @@ def collect_bitmap(numbers: DataFrame, bits: int) -> Broadcast:
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at = np.unique(bitmap_places(batch["number"].to_numpy(np.int64), bits))
+            at = np.unique(bitmap_places(of(batch), bits))
             yield pd.DataFrame({"chunk": (at // (size * 8)).astype(np.int32), "at": (at % (size * 8)).astype(np.int32)})
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

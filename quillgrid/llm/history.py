@@ -55,8 +55,12 @@ TABLES = 32
 SAMPLE, BITS_EACH = 64, 64
 #: Order value of every history row: before any batch row.
 ACCEPTED = -(1 << 62)
-#: Entries that travel and are stored as one value, about.
-PACKED = 1 << 18
+#: Entries that are stored as one value: a Parquet page holds a hundred values at least, so these must be small.
+PACKED = 1 << 11
+#: Small row groups and pages, so that neither writers nor readers hold much of the packed values at once.
+WRITTEN = {"compression": "zstd", "parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "4"}
+#: Such values that are opened at once.
+BLOBS = 256
 _SPACES = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 _ROWS = "core long, digest long, id string, idh long, ord long, body string"
 _ENTRIES = "entries binary"
@@ -106,16 +110,24 @@ def _opened(entries: DataFrame, bitmap: object = None) -> DataFrame:
 
     def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for blob in part["entries"]:
-                columns = B.unpack([blob], 4)
-                hit = B.in_bitmap(bitmap.value, columns[0]) if bitmap is not None else slice(None)
-                yield pd.DataFrame({k: B.signed(c[hit]) for k, c in zip(("key", "core", "sample", "ord"), columns, strict=True)})
+            blobs = part["entries"].tolist()
+            for k in range(0, len(blobs), BLOBS):
+                columns = B.unpack(blobs[k : k + BLOBS], 4)
+                if bitmap is not None:
+                    hit = np.flatnonzero(B.in_bitmap(bitmap.value, columns[0]))
+                    columns = [c[hit] for c in columns]
+                yield pd.DataFrame({name: B.signed(c) for name, c in zip(("key", "core", "sample", "ord"), columns, strict=True)})
 
     return entries.mapInPandas(unpack, _HITS)
 
 
-def _bitmap(numbers: DataFrame, count: int) -> object:
-    return B.collect_bitmap(numbers, B.bitmap_bits(count, BITS_EACH))
+def _keys(batch: pd.DataFrame) -> np.ndarray:
+    """The blocks of packed entries."""
+    return B.unpack(batch["entries"], 4)[0]
+
+
+def _bitmap(numbers: DataFrame, count: int, **of: object) -> object:
+    return B.collect_bitmap(numbers, B.bitmap_bits(count, BITS_EACH), **of)
 
 
 class History:
@@ -130,8 +142,8 @@ class History:
 
     def _write(self, rows: DataFrame, batch: str) -> None:
         """Rows (id, text, ord) as a batch that is not accepted yet."""
-        _plain_rows(rows, self.n).write.mode("overwrite").parquet(self.root.path("rows", batch))
-        _entries(self._rows([batch]), self.n, self.tables).write.mode("overwrite").parquet(self.root.path("entries", batch))
+        _plain_rows(rows, self.n).write.mode("overwrite").options(**WRITTEN).parquet(self.root.path("rows", batch))
+        _entries(self._rows([batch]), self.n, self.tables).write.mode("overwrite").options(**WRITTEN).parquet(self.root.path("entries", batch))
 
     def _rows(self, batches: list[str]) -> DataFrame:
         return self.spark.read.schema(_ROWS).parquet(*[self.root.path("rows", b) for b in batches])
@@ -154,7 +166,7 @@ class History:
         new, every = self._rows([batch]), [*before, batch]
         size = new.count()
         own = _opened(self._stored([batch]))
-        keys = _bitmap(own.select(F.col("key").alias("number")), size * self.tables)
+        keys = _bitmap(self._stored([batch]), size * self.tables, of=_keys)
         met = _opened(self._stored(every), keys).select("key", F.col("core").alias("other"), F.col("sample").alias("theirs"), F.col("ord").alias("since"))
         distance = F.bit_count(F.col("sample").bitwiseXOR(F.col("theirs")))
         close = (F.col("core") != F.col("other")) & (F.col("since") < F.col("ord")) & (distance <= SAMPLE - least_agreement(threshold, SAMPLE))
