@@ -81,7 +81,7 @@ def _plain_rows(rows: DataFrame, n: int) -> DataFrame:
 
     plain = F.regexp_replace(F.lower("id"), _SPACES, "")
     ids = rows.select(F.when(F.length(plain) > 0, plain).alias("id"), "text", "ord")
-    return ids.select("id", F.when(F.col("id").isNotNull(), F.xxhash64("id")).alias("idh"), "text", "ord").mapInPandas(hash_rows, _ROWS)
+    return ids.select("id", F.xxhash64(F.coalesce("id", F.lit(""))).alias("idh"), "text", "ord").mapInPandas(hash_rows, _ROWS)
 
 
 def _entries(rows: DataFrame, n: int, tables: int) -> DataFrame:
@@ -172,12 +172,12 @@ class History:
         close = (F.col("core") != F.col("other")) & (F.col("since") < F.col("ord")) & (distance <= SAMPLE - least_agreement(threshold, SAMPLE))
         found = checkpoint(own.join(met, "key").filter(close).groupBy("core", "other").agg(F.min("since").alias("since")))
         asked = found.select(F.col("other").alias("number")).unionByName(new.select(F.col("core").alias("number")))
-        cores, ids = _bitmap(asked, found.count() + size), _bitmap(new.filter(F.col("idh").isNotNull()).select(F.col("idh").alias("number")), size)
+        cores, ids = _bitmap(asked, found.count() + size), _bitmap(new.filter(F.col("id").isNotNull()).select(F.col("idh").alias("number")), size)
 
         def pick(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
                 texts = part["body"].notna().to_numpy() & B.in_bitmap(cores.value, part["core"].to_numpy(np.int64))
-                same = part["idh"].notna().to_numpy() & B.in_bitmap(ids.value, part["idh"].fillna(0).to_numpy(np.int64))
+                same = part["id"].notna().to_numpy() & B.in_bitmap(ids.value, part["idh"].to_numpy(np.int64))
                 out = part[texts | same].copy()
                 out.loc[~texts[texts | same], "body"] = None
                 yield out
