@@ -7,12 +7,12 @@ records so far.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..runtime import Folder
+
 _ORDER = ("updated_at", "received_at", "record_id")
 
 
@@ -23,13 +23,15 @@ def last_records(records: DataFrame, key: str = "question_id") -> DataFrame:
     return records.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("r")).select(key, "r.*")
 
 
-def _versions(folder: str) -> list[int]:
-    return sorted(int(n.removeprefix("v=")) for n in os.listdir(folder) if n.startswith("v=")) if os.path.isdir(folder) else []
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the whole versions, on whatever file system the folder is."""
+    at = Folder(spark, folder)
+    return sorted(int(n.removeprefix("v=")) for n in at.names() if n.startswith("v=") and at.exists(n, "_SUCCESS"))
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame | None:
     """The newest whole version of the table."""
-    done = [v for v in _versions(folder) if os.path.exists(f"{folder}/v={v}/_SUCCESS")]
+    done = _versions(spark, folder)
     return spark.read.parquet(f"{folder}/v={done[-1]}") if done else None
 
 
@@ -38,7 +40,7 @@ def keep_answers(stream: DataFrame, folder: str, checkpoint: str, trigger: dict
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        older = [v for v in _versions(folder) if v < number and os.path.exists(f"{folder}/v={v}/_SUCCESS")]
+        older = [v for v in _versions(spark, folder) if v < number]
         rows = last_records(batch)
         if older:
             rows = last_records(rows.unionByName(spark.read.parquet(f"{folder}/v={older[-1]}")))

@@ -93,11 +93,12 @@ def test_tables_are_replaced_elsewhere(spark, tmp_path):
 def test_the_stream_keeps_what_batches_would(spark, tmp_path):
     rows = [(1, "q", "A", "2024-01-02"), (2, "q", None, "2024-01-03"), (3, "q", "C", "2024-01-01"), (4, "r", "A", "2024-01-01")]
     df = spark.createDataFrame(rows, "record_id long, question_id string, answer string, u string").select("record_id", "question_id", "answer", F.to_timestamp("u").alias("updated_at"), F.to_timestamp("u").alias("received_at"))
+    out = (tmp_path / "out").as_uri()
     for part in ([1, 4], [2], [3, 1]):
         df.filter(F.col("record_id").isin(part)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-        V.keep_answers(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    got = {r.question_id: r.answer for r in V.current(spark, str(tmp_path / "out")).collect()}
+        V.keep_answers(stream, out, str(tmp_path / "check")).awaitTermination()
+    got = {r.question_id: r.answer for r in V.current(spark, out).collect()}
     assert got == {"q": None, "r": "A"} and V.current(spark, str(tmp_path / "none")) is None
 
 
