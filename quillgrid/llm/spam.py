@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import checkpoint
 from .blocks import steps, texts_of
 from .cores import code_points, windows
 
@@ -183,7 +184,7 @@ def page_features(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def stuffed_pages(docs: DataFrame, *, key: str, text: str) -> DataFrame:
     """The ``key`` of each spam page."""
-    pages = page_features(docs, key, text)
+    pages = checkpoint(page_features(docs, key, text))  # calibrated and judged from one reading
     # One row for each of the languages told apart, so two at most.
     prose = (F.col("stuffing") <= GREATER_PART) & (F.col("function_share") > 0)
     usual = pages.filter(prose).groupBy("language").agg((F.percentile_approx("function_share", 0.5, 1000) * FUNCTION_PART).alias("least"))
