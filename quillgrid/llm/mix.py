@@ -47,8 +47,8 @@ from .blocks import texts_of
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How a text is split before the merges of the rank files (a fixed value of theirs).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Uses of a pattern that have a price of their own; later ones all cost as much as the next.
-PRICED_USES = 8
+#: Uses of a pattern that have a price of their own; after them one price holds for twice as many uses each time, up to MOST_USES.
+PRICED_USES, MOST_USES = 8, 1 << 30
 BUCKETS = 4096
 _FREE = 1 << 62
 
@@ -185,7 +185,11 @@ def route(patterns: dict[tuple[str, ...], int], plan: dict[str, tuple[float, int
         size = patterns[name]
         for use in range(PRICED_USES):
             flow.add(start, k, size, use)
-        flow.add(start, k, _FREE, PRICED_USES)
+        use = PRICED_USES
+        while use < MOST_USES:
+            flow.add(start, k, size * use, use)
+            use *= 2
+        flow.add(start, k, _FREE, use)
         for s in name:
             taken[name, s] = flow.add(k, place[s], min(_FREE, size * plan[s][1]))
     for s in sources:

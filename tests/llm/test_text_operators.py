@@ -198,6 +198,12 @@ def test_flow_fills_first_and_repeats_least():
     assert (f.room[cheap ^ 1], f.room[dear ^ 1]) == (4, 5)
 
 
+def test_repetition_stays_dearer_the_more_there_is_of_it():
+    # Both patterns can serve "a"; past the eighth use the one used less is taken.
+    got = route({("a",): 1, ("a", "b"): 1}, {"a": (1.0, 1000), "b": (0.0, 1)}, 64)
+    assert got[("a",), "a"] == got[("a", "b"), "a"] == 32
+
+
 def test_shares_of_a_plan():
     got = shares([("a", 0.5, 2), ("b", None, None), ("c", 0.3, 0), (None, 0.2, 1), ("a", 0.4, 1)])
     assert got["a"] == (0.5, 1) and math.isclose(sum(s for s, _ in got.values()), 1) and math.isclose(got["b"][0], 0.2) and got["c"][1] == 0
