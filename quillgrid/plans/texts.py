@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import quality as Q
 from ..functions import text as T
 from ..operators import extract as X
+from ..operators import pages as P
 from ..operators import segment as S
 from . import Registry
 from . import duck as D
@@ -131,6 +132,27 @@ def wrapped_merge(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.size(merged).alias("lines"), F.array_join(merged, "\n").alias("merged"))
 
 
+def _flat(entries: DataFrame, doc: str, place: str) -> DataFrame:
+    """Entries in columns that compare by value."""
+    facts = F.transform("facts", lambda f: F.concat_ws("\t", f["question"], f["answer"]))
+    pages = F.transform("pages", lambda p: p.cast("string"))
+    return entries.select(doc, place, "id", "module", "title", "summary", F.array_join("keywords", ",").alias("keywords"), F.array_join(facts, "\n").alias("facts"), F.array_join(pages, ",").alias("pages"), "visual_signals.image_count")
+
+
+@TEXTS.add("page_entries")
+def page_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts under one title as the pages of a document; lines are folded, which SQL over sets cannot say."""
+    docs = table(spark, sf, "documents").filter("suffix <> '.pptx'").select(F.col("title").alias("doc"), "doc_id", "text", F.lit(0).alias("images"), "title")
+    return _flat(P.page_entries(docs, "doc", "doc_id", "text", "text", "images", "title"), "doc", "doc_id")
+
+
+@TEXTS.add("slide_entries")
+def slide_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Slides, their lines as blocks and no notes."""
+    docs = table(spark, sf, "documents").filter("suffix = '.pptx'").select(F.col("source").alias("deck"), F.col("title").alias("doc"), "doc_id", F.array("title").alias("titles"), T.lines("text").alias("body"), F.lit(None).cast("array<string>").alias("notes"), F.lit(0).alias("images"))
+    return _flat(P.slide_entries(docs, "doc", "doc_id", "titles", "body", "notes", "images", "deck"), "doc", "doc_id")
+
+
 @TEXTS.add("fingerprint_dedup", f"""
 WITH a AS (SELECT source, doc_id, title, length(coalesce(text, '')) AS images, array_to_string(list_filter(list_transform(list_concat([''], {D.clean_lines('text')}[1:12]), lambda l: {D.compact('l')}), lambda l: l <> ''), chr(1)) AS print FROM documents)
 SELECT source, min(doc_id) AS doc_id, arg_min(coalesce(title, ''), doc_id) AS title, array_to_string(list(doc_id ORDER BY doc_id), ',') AS pages, CAST(max(images) AS BIGINT) AS images FROM a GROUP BY source, print

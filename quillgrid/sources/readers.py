@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import html_text, lines
+from ..functions.text import html_text, lines, squeeze
 
 SUFFIXES = (".json", ".md", ".txt", ".html", ".htm", ".docx", ".pdf", ".pptx")
 IMAGES = (".png", ".jpg", ".jpeg")
@@ -97,9 +97,10 @@ def docx_text(content: bytes) -> str:
     return "\n".join(p for p in made if p)
 
 
-def _paragraphs(shape: ElementTree.Element) -> list[str]:
-    made = ("".join(t.text or "" for t in p.iter(f"{_A}t")).strip() for p in shape.iter(f"{_A}p"))
-    return [p for p in made if p]
+def _block(element: ElementTree.Element) -> str:
+    """All texts of an element as one block, parted by one space."""
+    texts = ((t.text or "").strip() for t in element.iter(f"{_A}t"))
+    return " ".join(" ".join(t for t in texts if t).split())
 
 
 def pptx_slides(content: bytes) -> list[tuple[int, list[str], list[str], list[str], int]]:
@@ -112,12 +113,13 @@ def pptx_slides(content: bytes) -> list[tuple[int, list[str], list[str], list[st
             root = ElementTree.fromstring(z.read(f"ppt/slides/slide{k}.xml"))
             titles, body = [], []
             for shape in root.iter(f"{_P}sp"):
-                mark = shape.find(f".//{_P}nvPr/{_P}ph")
+                mark = shape.find(f".//{_P}ph")
                 kind = mark.get("type") if mark is not None else None
-                (titles if kind in ("title", "ctrTitle", "subTitle") else body).extend(_paragraphs(shape))
+                if block := _block(shape):
+                    (titles if kind in ("title", "ctrTitle", "subTitle") else body).append(block)
             notes = []
             if (name := f"ppt/notesSlides/notesSlide{k}.xml") in names:
-                notes = _paragraphs(ElementTree.fromstring(z.read(name)))
+                notes = [t for p in ElementTree.fromstring(z.read(name)).iter(f"{_A}p") if (t := _block(p))]
             out.append((k, titles, body, notes, sum(1 for _ in root.iter(f"{_P}pic"))))
     return out
 
@@ -257,13 +259,31 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"no reader for {kind or 'a file without suffix'}: {path}")
 
 
+def pages_of(read: DataFrame) -> DataFrame:
+    """(file, page, raw, layout, images, name) of texts read from PDF (file, layout, raw, info, listing), up to the stated number of pages."""
+    from ..operators.segment import align_pages
+
+    split = split_pages(read, "file", "layout", "raw")
+    stated = read.select("file", F.coalesce(document_info(F.col("info"))["Pages"].try_cast("int"), F.lit(0)).alias("stated"))
+    found = split.groupBy("file").agg(F.count(F.when(squeeze("layout") != "", 1)).alias("a"), F.count(F.when(squeeze("raw") != "", 1)).alias("b"))
+    total = found.join(stated, "file").select("file", F.when(F.col("stated") > 0, F.col("stated")).otherwise(F.greatest("a", "b")).cast("int").alias("total"))
+    raw, layout = (align_pages(split, "file", "page", c, total, "total").withColumnRenamed("text", c) for c in ("raw", "layout"))
+    pages = raw.join(layout, ["file", "page"], "full_outer").join(total, "file").filter(F.col("page") <= F.col("total"))
+    return pages.join(image_census(read, "file", "listing"), ["file", "page"], "left").withColumn("name", stem(F.col("file"))).drop("total")
+
+
 def build_knowledge_base(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of any source: those of a JSON base as they are, sections of anything else."""
+    """Entries of any source: those of a JSON base as they are, of pages and slides one each, sections of anything else."""
     from ..operators.extract import knowledge_base
+    from ..operators.pages import page_entries, slide_entries
     from ..operators.segment import sections
 
     if suffix_of(path) == ".json":
         return read_entries(spark, path)
+    if suffix_of(path) == ".pptx":
+        return slide_entries(read_slides(spark, path), "file", "slide", "titles", "body", "notes", "images", "name")
+    if suffix_of(path) == ".pdf":
+        return page_entries(pages_of(read_pdf(spark, path)), "file", "page", "raw", "layout", "images", "name")
     docs = read_documents(spark, path)
     return knowledge_base(sections(docs, "file", "text", "name"), "file")
 

@@ -49,6 +49,18 @@ def test_docx_and_pptx(spark, tmp_path):
     assert S.read_documents(spark, str(tmp_path / "a.pptx")).first().text.split("\n\n")[1].strip() == "late"
 
 
+def test_pages_and_slides_become_entries(spark, tmp_path):
+    raw = "第1讲 图谱\n这一行已经足够长所以不会与下一行相连接了\f \f第二页的标题\n另外一行也足够长所以不会与下一行相连接了\f多出来的一页内容"
+    listing = "page num type width\n---- --- ---- -----\n1 0 image 10\n1 1 smask 10\n2 2 image 10"
+    df = spark.createDataFrame([("/x/lec_1.pdf", raw, raw, "Title: t\nPages: 2", listing), ("/x/b.pdf", "one page\f", "", None, None)], "file string, layout string, raw string, info string, listing string")
+    pages = {(r.name, r.page): (r.raw, r.images) for r in S.pages_of(df).collect()}
+    assert set(pages) == {("lec_1", 1), ("lec_1", 2), ("b", 1)} and pages["lec_1", 2][0].startswith("第二页") and pages["lec_1", 1][1] == pages["lec_1", 2][1] == 1
+    files = {"ppt/slides/slide1.xml": slide(("title", "A ► B"), ("body", "第一块内容足够长所以不会与下一块内容相连接"), pics=2)}
+    (tmp_path / "deck.pptx").write_bytes(archive(files))
+    (only,) = S.build_knowledge_base(spark, str(tmp_path / "deck.pptx")).collect()
+    assert (only.title, only.module, only.id, only.pages, only.visual_signals.image_count) == ("A ► B", "A", "deck-s0001", [1], 2)
+
+
 def test_json_bases_banks_answers_and_figures(spark, tmp_path):
     entry = {"id": "e", "title": "t", "keywords": ["k"], "facts": [{"question": "q", "answer": "a"}]}
     (tmp_path / "kb.json").write_text(json.dumps({"meta": {}, "entries": [entry]}), encoding="utf-8")

@@ -12,6 +12,7 @@ from quillgrid.operators import browse as W
 from quillgrid.operators import extract as X
 from quillgrid.operators import figures as I
 from quillgrid.operators import grading as G
+from quillgrid.operators import pages as P
 from quillgrid.operators import retrieve as R
 from quillgrid.operators import segment as S
 
@@ -82,6 +83,30 @@ def test_slides(spark):
     assert got[2] == ("第3讲 图谱", [])
 
 
+def test_entries_of_pages(spark):
+    long = "这一行已经足够长所以不会与下一行相连接了，其值是第{}种。"
+    foot = "生物信息学导论课程讲义第一部分目录页"
+    pages = [("a_b", k, f"{foot}\n第{k}讲 图谱{k}\n" + long.format(k), None, k) for k in range(1, 5)]
+    pages += [("a_b", 5, pages[0][2], None, 9), ("a_b", 6, " ", None, 0), ("a_b", 7, None, None, None), ("other", 1, "只有标题", "Layout title\n只有标题", 0), (None, 1, None, None, 0)]
+    df = spark.createDataFrame(pages, "d string, p int, r string, l string, i int").withColumn("n", F.col("d"))
+    got = {(r.d, r.p): r for r in P.page_entries(df, "d", "p", "r", "l", "i", "n").collect()}
+    assert sorted(got, key=str) == [("a_b", 1), ("a_b", 2), ("a_b", 3), ("a_b", 4), ("other", 1)]
+    one = got["a_b", 1]
+    assert (one.title, one.module, one.pages, one.visual_signals.image_count, one.id[-6:]) == ("第1讲 图谱1", "图谱1", [1, 5], 9, "-p0001")
+    assert one.summary == long.format(1) and len(one.facts) == 1 and foot not in str(got) and 0 < len(one.keywords) <= 8
+    assert got["other", 1].title == "Layout title" and got["other", 1].module == "other"
+    assert P.page_entries(df.limit(0), "d", "p", "r", "l", "i", "n").count() == 0
+
+
+def test_entries_of_slides(spark):
+    rows = [("deck", 1, ["A ► B"], ["第一块内容足够长所以不会与下一块内容相连接"], ["备注内容也足够长所以不会与上一块相连接了"], 2), ("deck", 2, [], ["第3讲 图谱"], None, 1), ("deck", 3, ["A ► B"], ["第一块内容足够长所以不会与下一块内容相连接"], ["备注内容也足够长所以不会与上一块相连接了"], 5), ("deck", 4, None, None, None, None)]
+    df = spark.createDataFrame(rows, "d string, s int, t array<string>, b array<string>, n array<string>, i int").withColumn("name", F.col("d"))
+    got = {r.s: r for r in P.slide_entries(df, "d", "s", "t", "b", "n", "i", "name").collect()}
+    assert (got[1].module, got[1].pages, got[1].visual_signals.image_count, len(got[1].facts)) == ("A", [1, 3], 5, 2)
+    assert got[2].title == got[2].summary == "第3讲 图谱" and got[2].module == "图谱" and got[2].id == "deck-s0002"
+    assert set(got) == {1, 2, 4} and got[4].title == "deck slide 4" and got[4].module == "A"
+
+
 def test_page_alignment_and_context(spark):
     texts = spark.createDataFrame([("f", 1, "a"), ("f", 2, " "), ("f", 3, "b")], "f string, p int, t string")
     counts = spark.createDataFrame([("f", 3)], "f string, n int")
