@@ -126,9 +126,10 @@ def _grouped(runs: DataFrame) -> DataFrame:
 def _met(cells: DataFrame, least: int) -> DataFrame:
     """(core, s0, s1, gid): the queries to groups of other texts that the masks of sketches admit, from the lesser group to the greater."""
     unions = [f(s).alias(f"{name}{s}") for s in ("s0", "s1") for name, f in (("one_", F.bit_or), ("zero_", lambda s: F.bit_or(F.bitwise_not(F.col(s)))))]
-    masks = cells.groupBy("key", F.col("gid").alias("to")).agg(*unions)
+    # The masks read a column of the join that they do not need, so that both read one shuffle and none is made for the masks alone.
+    masks = cells.groupBy("key", F.col("gid").alias("to")).agg(F.max("core").alias("some"), *unions)
     held = [F.bit_count(F.col(s).bitwiseAND(F.col(f"one_{s}")).bitwiseOR(F.bitwise_not(F.col(s)).bitwiseAND(F.col(f"zero_{s}")))) for s in ("s0", "s1")]
-    met = cells.join(masks, "key").filter((F.col("gid") < F.col("to")) & (held[0] + held[1] >= least))
+    met = cells.join(masks, "key").filter((F.col("gid") < F.col("to")) & F.col("some").isNotNull() & (held[0] + held[1] >= least))
     return met.select("core", "s0", "s1", F.col("to").alias("gid"))
 
 
@@ -138,7 +139,9 @@ def _asked(cells: DataFrame, least: int) -> DataFrame:
     Blocks of few texts are shuffled once, for the masks and the join; those of
     more than HOT texts twice, so that their join can be split among tasks.
     """
-    kept = cells.select("key", "size", "core", "s0", "s1", "gid")
+    # Told beforehand that nothing is null, the optimizer adds no filter to one side only.
+    columns = ["key", "size", "core", "s0", "s1", "gid"]
+    kept = cells.select(*columns).filter(" AND ".join(f"{c} IS NOT NULL" for c in columns))
     few = kept.filter(F.col("size") <= HOT).repartition(shuffle_partitions(cells.sparkSession), "key")
     return _met(few, least).unionByName(_met(kept.filter(F.col("size") > HOT), least)).distinct()
 
