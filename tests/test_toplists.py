@@ -65,7 +65,7 @@ def test_no_rows_and_no_queries(spark):
     assert L.TermIndex(held, "d", "t", asked.limit(0), "q", "t").best_relevance(5).count() == 0
 
 
-@pytest.mark.parametrize("name", ["bm25_topk"])
+@pytest.mark.parametrize("name", ["bm25_topk", "tfidf_topk"])
 def test_every_fact_is_asked(spark, name):
     assert "% 50" not in entry.oracle_sql()[name]
     asked = {r.fact_id for r in entry.queries()[name](spark, SMALLEST).select("fact_id").distinct().collect()}
