@@ -70,3 +70,8 @@ def test_every_fact_is_asked(spark, name):
     assert "% 50" not in entry.oracle_sql()[name]
     asked = {r.fact_id for r in entry.queries()[name](spark, SMALLEST).select("fact_id").distinct().collect()}
     assert len(asked) > spark.read.parquet(f"{SMALLEST}/kb_facts.parquet").count() * 0.9
+
+
+def test_every_fact_is_ranked(spark):
+    facts = spark.read.parquet(f"{SMALLEST}/kb_facts.parquet").count()
+    assert entry.queries()["hybrid_rank"](spark, SMALLEST).select("fact_id").distinct().count() == facts
