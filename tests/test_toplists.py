@@ -59,6 +59,23 @@ def test_best_cosine_is_that_of_all_pairs(spark, monkeypatch, words, chunk):
     _same(L.TermIndex(held, "d", "t", asked, "q", "t", pairs=True).best_cosine(5, held.count()), want)
 
 
+@pytest.mark.parametrize("words, chunk", [(60, 50), (60, 10_000), (4, 50), (2, 50)])
+def test_best_lexical_is_that_of_all_pairs(spark, monkeypatch, words, chunk):
+    monkeypatch.setattr(L, "CHUNK", chunk)
+    held, asked = _made(spark, words)
+    of = lambda df, key: R.terms_of(df.select(key, T.search_tokens("t").alias("ts")), key, F.col("ts"))
+    total = of(held, "d").select("d").distinct().count()  # as in the SQL, rows without terms do not count
+    every = R.bm25(of(asked, "q"), "q", of(held, "d"), "d").join(held, "d").join(asked.select("q", "wanted"), "q")
+    every = R.fused(every, "q", {"bm25": 0.45}, total, F.when(F.col("kind") == F.col("wanted"), 0.08).otherwise(0.0))
+    want = R.top(every, "q", [F.desc("score"), F.col("d")], 5).select("q", "place", "d", "score")
+    _same(L.TermIndex(held, "d", "t", asked, "q", "t", kind="kind", wanted="wanted").best_lexical(5), want)
+
+
+def test_lexical_rank_joins_no_pairs(spark):
+    plan = entry.queries()["lexical_rank"](spark, SMALLEST)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+
+
 def test_no_rows_and_no_queries(spark):
     held, asked = _made(spark)
     assert L.TermIndex(held.limit(0), "d", "t", asked, "q", "t").best_relevance(5).count() == 0
