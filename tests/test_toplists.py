@@ -71,8 +71,9 @@ def test_best_lexical_is_that_of_all_pairs(spark, monkeypatch, words, chunk):
     _same(L.TermIndex(held, "d", "t", asked, "q", "t", kind="kind", wanted="wanted").best_lexical(5), want)
 
 
-def test_lexical_rank_joins_no_pairs(spark):
-    plan = entry.queries()["lexical_rank"](spark, SMALLEST)._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("name", ["lexical_rank", "hybrid_rank"])
+def test_no_pairs_are_joined(spark, name):
+    plan = entry.queries()[name](spark, SMALLEST)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
 
 
